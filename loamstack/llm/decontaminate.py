@@ -3,7 +3,9 @@
 The test items form an inverted index whose postings lie in blocks with their greatest impact (block-max). Each
 training passage (128 words, one every 64, so that any 64 words in a row lie within one) is a query. An item's score is
 its BM25 score under the passage, as a share of its score under its own text; all items at or above ``threshold`` are
-retrieved by block-max WAND, with that threshold in place of a top-k bar. A gate spares most passages the search and
+retrieved by block-max WAND, with that threshold in place of a top-k bar. As a passage can't hold much of a long item,
+one of more than ``PIECE`` words is also indexed by its pieces (64 words, one every 32, and the last 64), each scored
+as a share of its own; an item is retrieved if it or any piece is, and the best of these is its score. A gate spares most passages the search and
 loses nothing: a score can't reach the threshold unless the passage holds an essential term of the item, and the
 essential terms found plus all others of the item reach it. (An item's other terms are those of least weight whose sum
 stays below the threshold.) Retrieved items are verified: the shares of the question's and of the answer's word
@@ -13,8 +15,8 @@ Items: item_id and text, or question and answer where the table has these. Of a
 (three at least) is the answer, the rest the question; with under six words, the whole is both. Words are runs of
 non-blank characters, in lower case, without non-alphanumeric characters at either end; empty ones are dropped.
 
-The index is built on the driver for ``shard_items`` items at a time and broadcast; more items make more passes, so
-that what is broadcast has a fixed bound. BM25 statistics cover all items. Null or empty texts and items without words
+The index is built on the driver for ``shard_items`` entries (items and their pieces) at a time and broadcast; more make
+more passes, so that what is broadcast has a fixed bound (one item's entries stay together). BM25 statistics cover all items. Null or empty texts and items without words
 match nothing; items that repeat an item_id count as one (the least text); rows repeat in the result only once; rows
 with a null doc_id are not reported, but ``keep_clean`` judges them too. Other columns are ignored, or passed through.
 """
@@ -35,6 +37,7 @@ K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.5, 0.5
 PASSAGE, STRIDE = 128, 64
 BLOCK = 64
+PIECE, PIECE_STRIDE = 64, 32
 SCHEMA = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
 EMPTY, UNKNOWN = -2, -1
 
@@ -61,13 +64,21 @@ def question_answer(text: str | None) -> tuple[list[str], list[str]]:
     return all_words[:-k], all_words[-k:]
 
 
+def entries(whole: list[str]) -> list[list[str]]:
+    """What an item is indexed by: all its words, and its pieces if it is long. Any PIECE words in a row lie within one passage."""
+    if len(whole) <= PIECE:
+        return [whole]
+    last = len(whole) - PIECE
+    return [whole, *(whole[at : at + PIECE] for at in (*range(0, last, PIECE_STRIDE), last))]
+
+
 @dataclass
 class Index:
-    """Postings of normalised BM25 impacts, with block maxima, and what verification needs."""
+    """Postings of normalised BM25 impacts of entries, with block maxima, the item of each entry, and what verification needs."""
 
     ids: list[int]
     vocabulary: dict[str, int]
-    items: list[list[int]]
+    owner: list[int]
     postings: list[tuple[list[int], list[float], list[float]]]
     essential: list[list[tuple[int, float]]]
     rest: np.ndarray
@@ -96,31 +107,32 @@ def build(items: list[tuple[int, list[str], list[str]]], frequency: dict[str, in
     rest, parts = [], []
     for item_id, question, answer in items:
         whole = question if question == answer else question + answer
-        counts: dict[str, int] = {}
-        for w in whole:
-            counts[w] = counts.get(w, 0) + 1
-        weights = {}
-        for w, tf in counts.items():
-            idf = math.log(1 + (n_items - frequency[w] + 0.5) / (frequency[w] + 0.5))
-            weights[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(whole) / mean_length))
-        total = sum(weights.values())
-        at = len(index.ids)
         index.ids.append(item_id)
-        for w in weights:
-            vocabulary.setdefault(w, len(vocabulary))
-        impacts = sorted(((weights[w] / total, vocabulary[w]) for w in weights))
-        index.items.append([t for _, t in impacts])
-        light, k = 0.0, 0
-        while k < len(impacts) and light + impacts[k][0] < threshold - 1e-9:
-            light += impacts[k][0]
-            k += 1
-        rest.append(light)
-        for impact, t in impacts:
-            gathered.setdefault(t, []).append((at, impact))
-        for impact, t in impacts[k:]:
-            while len(index.essential) <= t:
-                index.essential.append([])
-            index.essential[t].append((at, impact))
+        for entry in entries(whole):
+            counts: dict[str, int] = {}
+            for w in entry:
+                counts[w] = counts.get(w, 0) + 1
+            weights = {}
+            for w, tf in counts.items():
+                idf = math.log(1 + (n_items - frequency[w] + 0.5) / (frequency[w] + 0.5))
+                weights[w] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(entry) / mean_length))
+            total = sum(weights.values())
+            at = len(index.owner)
+            index.owner.append(len(index.ids) - 1)
+            for w in weights:
+                vocabulary.setdefault(w, len(vocabulary))
+            impacts = sorted(((weights[w] / total, vocabulary[w]) for w in weights))
+            light, k = 0.0, 0
+            while k < len(impacts) and light + impacts[k][0] < threshold - 1e-9:
+                light += impacts[k][0]
+                k += 1
+            rest.append(light)
+            for impact, t in impacts:
+                gathered.setdefault(t, []).append((at, impact))
+            for impact, t in impacts[k:]:
+                while len(index.essential) <= t:
+                    index.essential.append([])
+                index.essential[t].append((at, impact))
         parts.append([np.array([vocabulary[w] for w in side], np.int64) for side in (question, answer)])
     size = len(vocabulary)
     index.essential += [[] for _ in range(size - len(index.essential))]
@@ -136,7 +148,7 @@ def build(items: list[tuple[int, list[str], list[str]]], frequency: dict[str, in
 
 
 def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-    """Every item whose score under these distinct terms reaches the threshold: block-max WAND with a fixed bar."""
+    """Every entry whose score under these distinct terms reaches the threshold: block-max WAND with a fixed bar."""
     bar = threshold - 1e-9
     cursors = [[0, t] for t in terms]
     found = []
@@ -224,10 +236,11 @@ class Matcher:
             terms = set(part[part >= 0].tolist())
             found: dict[int, float] = {}
             for t in terms:
-                for item, impact in index.essential[t]:
-                    found[item] = found.get(item, 0.0) + impact
+                for entry, impact in index.essential[t]:
+                    found[entry] = found.get(entry, 0.0) + impact
             if any(s + index.rest[i] >= self.threshold - 1e-9 for i, s in found.items()):
-                for item, score in wand(index, sorted(terms), self.threshold):
+                for entry, score in wand(index, sorted(terms), self.threshold):
+                    item = index.owner[entry]
                     best[item] = max(best.get(item, 0.0), score)
         if not best:
             return []
@@ -257,7 +270,7 @@ def load_items(benchmark: DataFrame) -> list[tuple[int, list[str], list[str]]]:
 
 
 def indexes(benchmark: DataFrame, threshold: float, shard_items: int = 20_000) -> list[Index]:
-    """The items as indexes of at most ``shard_items`` each, under statistics of all."""
+    """The items as indexes of at most ``shard_items`` entries each (more only if one item has more), under statistics of all."""
     items = sorted((i for i in load_items(benchmark) if i[1] or i[2]), key=lambda i: i[0])
     frequency: dict[str, int] = {}
     length = 0
@@ -266,7 +279,16 @@ def indexes(benchmark: DataFrame, threshold: float, shard_items: int = 20_000) -
         length += len(whole)
         for w in set(whole):
             frequency[w] = frequency.get(w, 0) + 1
-    return [build(items[k : k + shard_items], frequency, len(items), length / len(items), threshold) for k in range(0, len(items), shard_items)]
+    shards: list[list] = []
+    room = 0
+    for item in items:
+        n = len(entries(item[1] if item[1] == item[2] else item[1] + item[2]))
+        if not shards or n > room:
+            shards.append([])
+            room = shard_items
+        shards[-1].append(item)
+        room -= n
+    return [build(shard, frequency, len(items), length / len(items), threshold) for shard in shards]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_items: int = 20_000) -> DataFrame:
