@@ -17,8 +17,9 @@ non-blank characters, in lower case, without non-alphanumeric characters at eith
 
 The index is built on the driver for ``shard_items`` entries (items and their pieces) at a time and broadcast; more make
 more passes, so that what is broadcast has a fixed bound (one item's entries stay together). BM25 statistics cover all items. Null or empty texts and items without words
-match nothing; items that repeat an item_id count as one (the least text); rows repeat in the result only once; rows
-with a null doc_id are not reported, but ``keep_clean`` judges them too. Other columns are ignored, or passed through.
+match nothing. Each distinct text under an item_id, null ids included, is an item of its own and is searched for; the
+result has one row for a doc_id and item_id (null for items without one), that of the best score. Rows with a null
+doc_id are not reported, but ``keep_clean`` judges them too. Other columns are ignored, or passed through.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def entries(whole: list[str]) -> list[list[str]]:
 class Index:
     """Postings of normalised BM25 impacts of entries, with block maxima, the item of each entry, and what verification needs."""
 
-    ids: list[int]
+    ids: list[int | None]
     vocabulary: dict[str, int]
     owner: list[int]
     postings: list[tuple[list[int], list[float], list[float]]]
@@ -99,7 +100,7 @@ def codes(ids: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.unique(out[good])
 
 
-def build(items: list[tuple[int, list[str], list[str]]], frequency: dict[str, int], n_items: int, mean_length: float, threshold: float) -> Index:
+def build(items: list[tuple[int | None, list[str], list[str]]], frequency: dict[str, int], n_items: int, mean_length: float, threshold: float) -> Index:
     """items: (item_id, question words, answer words); frequency: items that hold each word, over all shards."""
     vocabulary: dict[str, int] = {}
     index = Index([], vocabulary, [], [], [], np.empty(0))
@@ -208,7 +209,7 @@ class Matcher:
         self.memo = Memo(lookup)
         self.has_essential = np.array([bool(e) for e in index.essential], bool)
 
-    def __call__(self, text: str | None) -> list[tuple[int, float, float, float]]:
+    def __call__(self, text: str | None) -> list[tuple[int | None, float, float, float]]:
         """(item_id, score, question overlap, answer overlap), each item once, with its best passage's score."""
         raw = (text or "").split()
         if not raw or not self.index.ids:
@@ -216,7 +217,7 @@ class Matcher:
         ids = np.fromiter(map(self.memo.__getitem__, raw), np.int64, len(raw))
         return self.match(ids[ids != EMPTY])
 
-    def match(self, ids: np.ndarray) -> list[tuple[int, float, float, float]]:
+    def match(self, ids: np.ndarray) -> list[tuple[int | None, float, float, float]]:
         index, known = self.index, np.flatnonzero(ids >= 0)
         hits = known[self.has_essential[ids[known]]]
         if not len(hits):
@@ -259,19 +260,17 @@ class Matcher:
         return float(np.isin(part, grams[n]).mean()) if len(part) else 1.0
 
 
-def load_items(benchmark: DataFrame) -> list[tuple[int, list[str], list[str]]]:
-    names = set(benchmark.columns)
-    if {"question", "answer"} <= names:
-        rows = benchmark.select("item_id", "question", "answer").where("item_id is not null")
-        least = rows.groupBy("item_id").agg(F.min(F.struct(F.coalesce("question", F.lit("")).alias("q"), F.coalesce("answer", F.lit("")).alias("a"))).alias("r")).select("item_id", "r.q", "r.a")
-        return [(r[0], words(r[1]), words(r[2])) for r in least.toLocalIterator()]
-    least = benchmark.where("item_id is not null").groupBy("item_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("t"))
-    return [(r[0], *question_answer(r[1])) for r in least.toLocalIterator()]
+def load_items(benchmark: DataFrame) -> list[tuple[int | None, list[str], list[str]]]:
+    """Each distinct item; several may share an id, or have none."""
+    sides = ["question", "answer"] if {"question", "answer"} <= set(benchmark.columns) else ["text"]
+    rows = benchmark.select("item_id", *(F.coalesce(c, F.lit("")).alias(c) for c in sides)).distinct()
+    read = [(r[0], *((words(r[1]), words(r[2])) if len(sides) == 2 else question_answer(r[1]))) for r in rows.toLocalIterator()]
+    return list({(i, tuple(q), tuple(a)): (i, q, a) for i, q, a in read if q or a}.values())
 
 
 def indexes(benchmark: DataFrame, threshold: float, shard_items: int = 20_000) -> list[Index]:
     """The items as indexes of at most ``shard_items`` entries each (more only if one item has more), under statistics of all."""
-    items = sorted((i for i in load_items(benchmark) if i[1] or i[2]), key=lambda i: i[0])
+    items = sorted(load_items(benchmark), key=lambda i: (i[0] is None, i[0] or 0, i[1], i[2]))
     frequency: dict[str, int] = {}
     length = 0
     for _, question, answer in items:
@@ -304,7 +303,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
         part = map_rows(named, ["doc_id", "text"], make, SCHEMA)
         out = part if out is None else out.unionByName(part)
-    return out.distinct()
+    best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("best")
+    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_items: int = 20_000) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Items longer than a passage are found wherever they lie."""
+"""Items of any length are found wherever they lie, whatever their ids."""
 
 import random
 
@@ -49,3 +49,26 @@ def test_long_item_is_reported_and_its_document_dropped(spark):
     for shard_items in (20_000, 8):
         assert [(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, benchmark, shard_items=shard_items).collect()] == [(1, 500)]
         assert [r["doc_id"] for r in D.keep_clean(docs, benchmark, shard_items=shard_items).collect()] == [2]
+
+
+def test_items_that_share_or_lack_an_id_are_all_searched(spark):
+    rng = random.Random(2)
+    a, b, c, d = (text(rng, 30) for _ in range(4))
+    benchmark = spark.createDataFrame([(7, a), (7, b), (7, ""), (7, None), (None, c), (None, d), (None, d), (8, a)], ITEMS)
+    held = [a, b, c, d, f"{a} {b}", text(rng, 30)]
+    docs = spark.createDataFrame([(i, f"{text(rng, 20)} {t} {text(rng, 20)}") for i, t in enumerate(held)], DOCS)
+    for shard_items in (20_000, 1):
+        out = [(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, benchmark, shard_items=shard_items).collect()]
+        assert sorted(out, key=str) == [(0, 7), (0, 8), (1, 7), (2, None), (3, None), (4, 7), (4, 8)]
+        assert [r["doc_id"] for r in D.keep_clean(docs, benchmark, shard_items=shard_items).collect()] == [5]
+
+
+def test_questions_and_answers_that_share_or_lack_an_id(spark):
+    rng = random.Random(3)
+    pairs = [(text(rng, 20), text(rng, 8)) for _ in range(3)]
+    rows = [(7, *pairs[0]), (7, *pairs[1]), (7, None, ""), (None, *pairs[2])]
+    benchmark = spark.createDataFrame(rows, "item_id bigint, question string, answer string")
+    docs = spark.createDataFrame([(i, f"{q} {a}") for i, (q, a) in enumerate(pairs)] + [(3, text(rng, 28))], DOCS)
+    out = [(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, benchmark).collect()]
+    assert sorted(out, key=str) == [(0, 7), (1, 7), (2, None)]
+    assert [r["doc_id"] for r in D.keep_clean(docs, benchmark).collect()] == [3]
