@@ -4,7 +4,7 @@ MinHash banding with bands and rows chosen for a target recall, a shuffle on ban
 n-gram sets. No bucket is capped:
 
 1. Documents with the same n-gram set become one; the others of them are listed against the lowest id (similarity 1).
-2. In each band bucket the lowest id leads. A document's home is the lowest of its leaders, so that a large family of
+2. In each band bucket the lowest set leads. A set's home is the lowest of its leaders, so that a large family of
    near copies shares one home and never unfolds into candidate pairs: a home compares all its members.
 3. Members of one bucket with different homes are candidate pairs and are compared in the lower home.
 4. Homes are cut into blocks of bounded n-gram count, and each pair of blocks is one unit of work, so that no task
@@ -15,9 +15,9 @@ their lowest ids, and each further copy with its lowest id; ``expand_copies`` gi
 
 Words are runs of non-blank characters, in lower case. A text of fewer words than n is one n-gram of all its words; a
 text without words (null, empty, blank) has no n-grams and joins nothing. Rows with a null id are left out, repeated
-rows of one id count once (of several texts that are the lowest of their sets under one id, one is compared further:
-the one with the least set hash). Columns besides doc_id and text are
-ignored. An empty table gives no pairs.
+rows of one id count once. Each distinct set is compared under a key of its own (in the order of its lowest id, then of
+its hash), so different texts under one id are all compared; a pair of ids is listed once, with its greatest similarity,
+and never an id with itself. Columns besides doc_id and text are ignored. An empty table gives no pairs.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, cut, map_rows, maybe_in, to_arrow
+from .common import Memo, cut, map_rows, maybe_in, nullable, pieces, to_arrow
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.98
-PAIRS = "doc_a bigint, doc_b bigint, jaccard double"
+PAIRS = "node_a bigint, node_b bigint, doc_a bigint, doc_b bigint, jaccard double"
 
 
 def bands_and_rows(threshold: float, recall: float, most_bands: int = 32) -> tuple[int, int]:
@@ -128,73 +128,78 @@ BLOCK_GRAMS = 1 << 20
 
 def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """All pairs at or above the threshold, in the form that the module describes."""
-    bands, rows = bands_and_rows(threshold, recall)
-    signed = cut(signatures(docs, n, bands, rows), "signatures")
-    sets = cut(
-        signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_grams", "bands"), "doc_id").alias("sign"), F.count(F.lit(1)).alias("rows")),
-        "sets",
-    )
+    signed, sets, near = set_pairs(docs, n, threshold, recall)
     copies = (
         signed.select("set_key", "doc_id")
         .join(sets.where("rows > 1").select("set_key", "rep"), "set_key")
         .where("doc_id <> rep")
         .select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-        .distinct()
     )
-    reps = sets.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("set_key", "sign")).alias("s")).select("doc_id", "s.set_key", "s.sign.n_grams", "s.sign.bands")
+    # An id with several sets may meet another more than once.
+    both = copies.unionByName(near.where("doc_a < doc_b").select("doc_a", "doc_b", "jaccard"))
+    return both.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+
+
+def set_pairs(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, set_key) of the rows; (node, set_key, rep, rows) of the distinct sets; and their pairs, with the sets' nodes and lowest ids."""
+    bands, rows = bands_and_rows(threshold, recall)
+    signed = cut(signatures(docs, n, bands, rows), "signatures")
+    # Nodes are in the order of (rep, set_key), so what leads a bucket doesn't depend on the partitions.
+    sets = signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_grams", "bands"), "doc_id").alias("sign"), F.count(F.lit(1)).alias("rows"))
+    sets = cut(sets.repartitionByRange("rep", "set_key").sortWithinPartitions("rep", "set_key").withColumn("node", F.monotonically_increasing_id()), "sets")
+    nodes = sets.select("node", "sign.n_grams", "sign.bands")
 
     bucket = Window.partitionBy("band", "hash")
     crowded = cut(
-        reps.select("doc_id", "n_grams", F.posexplode("bands").alias("band", "hash"))
-        .withColumns({"lead": F.min("doc_id").over(bucket), "members": F.count(F.lit(1)).over(bucket)})
+        nodes.select("node", "n_grams", F.posexplode("bands").alias("band", "hash"))
+        .withColumns({"lead": F.min("node").over(bucket), "members": F.count(F.lit(1)).over(bucket)})
         .where("members > 1")
-        .select("band", "hash", "doc_id", "n_grams", "lead"),
+        .select("band", "hash", "node", "n_grams", "lead"),
         "buckets",
     )
-    homes = cut(crowded.groupBy("doc_id").agg(F.min("lead").alias("home"), F.first("n_grams").alias("n_grams")), "homes")
+    homes = cut(crowded.groupBy("node").agg(F.min("lead").alias("home"), F.first("n_grams").alias("n_grams")), "homes")
     at = Window.partitionBy("band", "hash")
     mixed = (
-        crowded.select("band", "hash", "doc_id")
-        .join(homes.select("doc_id", "home"), "doc_id")
+        crowded.select("band", "hash", "node")
+        .join(homes.select("node", "home"), "node")
         .withColumns({"lo": F.min("home").over(at), "hi": F.max("home").over(at)})
         .where("lo < hi")
-        .select("band", "hash", "doc_id", "home")
+        .select("band", "hash", "node", "home")
     )
-    left = mixed.select("band", "hash", F.col("doc_id").alias("a"), F.col("home").alias("home_a"))
-    right = mixed.select("band", "hash", F.col("doc_id").alias("b"), F.col("home").alias("home_b"))
+    left = mixed.select("band", "hash", F.col("node").alias("a"), F.col("home").alias("home_a"))
+    right = mixed.select("band", "hash", F.col("node").alias("b"), F.col("home").alias("home_b"))
     strangers = cut(left.join(right, ["band", "hash"]).where("home_a < home_b").select(F.col("home_a").alias("home"), "a", "b").distinct(), "strangers")
 
     # Blocks of each home: its own members, then the strangers that are compared there.
-    own = homes.select("home", "doc_id", "n_grams", F.lit(True).alias("own"))
-    guests = strangers.select("home", F.col("b").alias("doc_id")).distinct().join(homes.select("doc_id", "n_grams"), "doc_id").select("home", "doc_id", "n_grams", F.lit(False).alias("own"))
+    own = homes.select("home", "node", "n_grams", F.lit(True).alias("own"))
+    guests = strangers.select("home", F.col("b").alias("node")).distinct().join(homes.select("node", "n_grams"), "node").select("home", "node", "n_grams", F.lit(False).alias("own"))
     seats = own.unionByName(guests)
     sizes = seats.groupBy("home").agg(F.ceil(F.sum("n_grams") / F.lit(BLOCK_GRAMS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("seats")).where("seats > 1")
     placed = cut(
-        seats.join(sizes.select("home", "blocks"), "home").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")),
+        seats.join(sizes.select("home", "blocks"), "home").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")),
         "seats",
     )
     # A unit is a pair of blocks; each seat goes to the units of its own block, each stranger pair to the unit of both.
     units = placed.select(
-        "home", "doc_id", "own", "block",
+        "home", "node", "own", "block",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))).alias("unit"),
-    ).select("home", "unit.x", "unit.y", "doc_id", "own", "block")
+    ).select("home", "unit.x", "unit.y", "node", "own", "block")
     pairs_at = (
-        strangers.join(placed.select("home", F.col("doc_id").alias("a"), F.col("block").alias("block_a")), ["home", "a"])
-        .join(placed.select("home", F.col("doc_id").alias("b"), F.col("block").alias("block_b")), ["home", "b"])
+        strangers.join(placed.select("home", F.col("node").alias("a"), F.col("block").alias("block_a")), ["home", "a"])
+        .join(placed.select("home", F.col("node").alias("b"), F.col("block").alias("block_b")), ["home", "b"])
         .select("home", F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y"), "a", "b")
     )
-    key_of = placed.select("doc_id").distinct().join(reps.select("doc_id", F.col("set_key").alias("__key")), "doc_id")
-    key_of = cut(key_of, "keys").select(F.col("doc_id").alias("__doc"), "__key")
+    key_of = cut(placed.select("node").distinct().join(sets.select("node", "rep", "set_key"), "node"), "keys")
     named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    likely = gram_sets(maybe_in(named, placed.select("doc_id")).where("__maybe"), n)
-    grams = likely.join(key_of, (F.col("doc_id") == F.col("__doc")) & (F.col("key") == F.col("__key"))).select("doc_id", "grams").dropDuplicates(["doc_id"])
-    seated = units.join(grams, "doc_id").select("home", "x", "y", "doc_id", "own", "block", "grams")
+    likely = gram_sets(maybe_in(named, key_of.select("rep")).where("__maybe"), n)
+    grams = likely.join(key_of, (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("set_key"))).select("node", "doc_id", "grams").dropDuplicates(["node"])
+    seated = units.join(grams, "node").select("home", "x", "y", "node", "doc_id", "own", "block", "grams")
     verified = (
         seated.groupBy("home", "x", "y")
         .cogroup(pairs_at.groupBy("home", "x", "y"))
         .applyInArrow(_verifier(threshold), T.StructType.fromDDL(PAIRS))
     )
-    return copies.unionByName(verified)
+    return signed, sets, verified
 
 
 def gram_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -217,7 +222,7 @@ def _verifier(threshold: float):
     kind = to_arrow(T.StructType.fromDDL(PAIRS))
 
     def verify(seats: pa.Table, pairs: pa.Table) -> pa.Table:
-        out: tuple[list, list, list] = ([], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])
         if seats.num_rows > 1:
             for columns in compare(seats, pairs, threshold):
                 for to, values in zip(out, columns, strict=True):
@@ -228,13 +233,14 @@ def _verifier(threshold: float):
     return verify
 
 
-def compare(seats: pa.Table, pairs: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def compare(seats: pa.Table, pairs: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
     """Verified pairs of one unit: own members with each other (across its two blocks, or within its one), and the listed pairs."""
+    node = np.array(seats["node"].to_pylist(), np.int64)
     doc = np.array(seats["doc_id"].to_pylist(), np.int64)
     own = np.array(seats["own"].to_pylist(), bool)
     block = np.array(seats["block"].to_pylist())
-    order = np.argsort(doc, kind="stable")
-    doc, own, block = doc[order], own[order], block[order]
+    order = np.argsort(node, kind="stable")
+    node, doc, own, block = node[order], doc[order], own[order], block[order]
     sets = seats["grams"].to_pylist()
     sets = [np.frombuffer(sets[i], np.uint64) for i in order]
     size = np.array([len(s) for s in sets])
@@ -242,7 +248,7 @@ def compare(seats: pa.Table, pairs: pa.Table, threshold: float) -> Iterator[tupl
     vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
     x, y = seats["x"][0].as_py(), seats["y"][0].as_py()
     listed: dict[int, list[int]] = {}
-    place = {d: i for i, d in enumerate(doc.tolist())}
+    place = {d: i for i, d in enumerate(node.tolist())}
     for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
         if a in place and b in place:
             i, j = sorted((place[a], place[b]))
@@ -272,7 +278,7 @@ def compare(seats: pa.Table, pairs: pa.Table, threshold: float) -> Iterator[tupl
         score = both / (size[i] + size[js] - both)
         good = score >= threshold
         if good.any():
-            yield np.full(good.sum(), doc[i]), doc[js[good]], score[good]
+            yield np.full(good.sum(), node[i]), node[js[good]], np.full(good.sum(), doc[i]), doc[js[good]], score[good]
 
 
 def expand_copies(pairs: DataFrame) -> DataFrame:
@@ -306,16 +312,46 @@ def components(pairs: DataFrame, name: str = "components") -> DataFrame:
             return label
 
 
+def with_keys(docs: DataFrame, n: int) -> DataFrame:
+    """All columns, and ``__key``: the key of a row's n-gram set, null without n-grams."""
+    at = docs.columns.index("text")
+    fields = T.StructType([*nullable(docs.schema).fields, T.StructField("__key", T.BinaryType())])
+    kind = to_arrow(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(n)
+        for batch in batches:
+            for part in pieces(batch):
+                sets = [shingle(text) for text in part.column(at).to_pylist()]
+                keys = [hashlib.blake2b(s.tobytes(), digest_size=12).digest() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(part.columns, kind, strict=False)] + [pa.array(keys, pa.binary())], schema=kind)
+
+    return docs.mapInArrow(run, fields)
+
+
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Documents without their near copies: of each linked group the lowest doc_id stays, with all its columns.
+    """Documents without their near copies, with all their columns: of each linked group of texts, a row with the lowest text stays
+    (that of the lowest doc_id; of several under it, that of the least set hash).
 
-    Rows that repeat a doc_id are one document, of which the row with the least text stays (null first). Rows with a null id stay.
+    Rows are judged by their own text, so other texts under the id of a copy stay. Of rows that repeat a doc_id and its n-gram set
+    the one with the least text stays. Rows with a null id or without n-grams are no copies and stay.
     Only rows that may be copies are shuffled with their texts.
     """
-    losers = cut(components(jaccard_pairs(docs, n, threshold, recall)).where("doc_id <> group_id").select(F.col("doc_id").alias("__loser")), "losers")
-    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("__loser")).agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select("__loser")
-    flagged = maybe_in(docs, losers.union(twice))
-    doubtful = flagged.where("__maybe").drop("__maybe").join(losers, F.col("doc_id").cast("bigint") == F.col("__loser"), "left_anti")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    kept = doubtful.withColumn("__first", F.row_number().over(first)).where("__first = 1").drop("__first")
-    return flagged.where("not __maybe").drop("__maybe").unionByName(kept)
+    signed, sets, near = set_pairs(docs, n, threshold, recall)
+    groups = components(near.select(F.col("node_a").alias("doc_a"), F.col("node_b").alias("doc_b")))
+    lost = groups.where("doc_id <> group_id").select(F.col("doc_id").alias("node"), F.lit(True).alias("lost"))
+    judged = sets.join(lost, "node", "left").where("lost or rows > 1").select("set_key", "rep", F.coalesce("lost", F.lit(False)).alias("lost"))
+    gone = signed.select("doc_id", "set_key").join(judged, "set_key").where("lost or doc_id <> rep")
+    losers = cut(gone.select(F.col("doc_id").alias("__loser"), F.col("set_key").alias("__lost")).distinct(), "losers")
+    twice = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("__twice")).agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").select("__twice")
+    twice = cut(twice, "twice")
+    doc = F.col("doc_id").cast("bigint")
+    flagged = maybe_in(docs, losers.select("__loser").union(twice))
+    doubtful = flagged.where("__maybe").drop("__maybe")
+    # An id of one row goes by its id alone; where an id has several rows, each goes by its own text.
+    single = doubtful.join(twice, doc == F.col("__twice"), "left_anti").join(losers, doc == F.col("__loser"), "left_anti")
+    several = with_keys(doubtful.join(twice, doc == F.col("__twice"), "left_semi"), n)
+    left = several.join(losers, (doc == F.col("__loser")) & (F.col("__key") == F.col("__lost")), "left_anti")
+    first = Window.partitionBy("doc_id", "__key").orderBy("text")
+    kept = left.withColumn("__first", F.row_number().over(first)).where("__first = 1 or __key is null").drop("__first", "__key")
+    return flagged.where("not __maybe").drop("__maybe").unionByName(single).unionByName(kept)
