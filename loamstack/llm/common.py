@@ -19,6 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it; a local one is made only where none is named."""
     folder = spark.conf.get(SETTING, None)
     if not folder:
+        # The folder of one machine serves only where all tasks run in this process.
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError(f"{SETTING} must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loamstack-")
         spark.conf.set(SETTING, folder)
     return folder.rstrip("/")
@@ -32,17 +35,35 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it back: short lineage that outlives any executor."""
+    """Writes a table into the shared folder and reads it back: short lineage that outlives any executor. It goes when the driver ends."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    made = context._jvm.org.apache.hadoop.fs.Path(path)
+    made.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(made)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def purge(spark: SparkSession) -> None:
-    """Deletes every table that this application cut; call it once no result is read any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``cut`` wrote, once nothing reads it any more."""
+    context = df.sparkSession.sparkContext
+    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def plain(df: DataFrame, *needed: str) -> DataFrame:
+    """``df`` with names that can't clash: the needed columns keep theirs, the others become c_0, c_1 and so on by place.
+
+    A needed column is the one of exactly that name, else the first whose name differs by case only.
+    """
+    at = {}
+    for name in needed:
+        same = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name]
+        if not same:
+            raise ValueError(f"no column {name} among {df.columns}")
+        at[same[0]] = name
+    return df.toDF(*(at.get(i, f"c_{i}") for i in range(len(df.columns))))
 
 
 def nullable(schema: T.StructType) -> T.StructType:
@@ -68,11 +89,12 @@ def map_rows(
                     data = [pa.array(list(values), type=f.type) for f, values in zip(kind, zip(*rows, strict=True), strict=True)]
                     yield pa.RecordBatch.from_arrays(data, schema=kind)
 
-    return df.select(*columns).mapInArrow(run, fields)
+    return plain(df, *columns).select(*columns).mapInArrow(run, fields)
 
 
 def keep_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[..., list[bool]]]) -> DataFrame:
     """A filter over whole rows, all columns unchanged; ``make`` as for map_rows, giving a flag for each row."""
+    names, df = df.columns, plain(df, *columns)
     at = [df.columns.index(c) for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +103,7 @@ def keep_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[...
             for part in pieces(batch):
                 yield part.filter(pa.array(work(*(part.column(i).to_pylist() for i in at)), type=pa.bool_()))
 
-    return df.mapInArrow(run, nullable(df.schema))
+    return df.mapInArrow(run, nullable(df.schema)).toDF(*names)
 
 
 def pieces(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:

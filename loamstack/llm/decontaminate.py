@@ -1,43 +1,49 @@
 """Operator 3: benchmark decontamination by BM25 retrieval.
 
-The test items form an inverted index whose postings lie in blocks with their greatest impact (block-max). Each
-training passage (128 words, one every 64, so that any 64 words in a row lie within one) is a query. An item's score is
-its BM25 score under the passage, as a share of its score under its own text; all items at or above ``threshold`` are
-retrieved by block-max WAND, with that threshold in place of a top-k bar. As a passage can't hold much of a long item,
-one of more than ``PIECE`` words is also indexed by its pieces (64 words, one every 32, and the last 64), each scored
-as a share of its own; an item is retrieved if it or any piece is, and the best of these is its score. A gate spares most passages the search and
-loses nothing: a score can't reach the threshold unless the passage holds an essential term of the item, and the
-essential terms found plus all others of the item reach it. (An item's other terms are those of least weight whose sum
-stays below the threshold.) Retrieved items are verified: the shares of the question's and of the answer's word
-3-grams that the document holds must both reach ``overlap``.
+The test items form an inverted index with block maxima: entries lie in blocks of ``BLOCK``, and each term keeps its
+greatest impact in each block. Each training passage (128 words, one every 64, so that any 64 words in a row lie within
+one) is a query. An item's score is its BM25 score under the passage, as a share of its score under its own text; all
+items at or above ``threshold`` are retrieved by block-max WAND, with that threshold in place of a top-k bar. As a
+passage can't hold much of a long item, one of more than ``PIECE`` words is also indexed by its pieces (64 words, one
+every 32, and the last 64), each scored as a share of its own; an item is retrieved if it or any piece is, and the best
+of these is its score. As the bar is fixed, the block test doesn't depend on what was found before, so it is made for
+all passages of a batch at once, on arrays: a block whose maxima add up to less than the bar is skipped by all, and only
+passages with a block left go through WAND's cursors, over these blocks. Nothing is lost by it. Retrieved items are
+verified: the shares of the question's and of the answer's word 3-grams that the document holds must both reach
+``overlap``.
 
 Items: item_id and text, or question and answer where the table has these. Of a text, the last quarter of its words
 (three at least) is the answer, the rest the question; with under six words, the whole is both. Words are runs of
 non-blank characters, in lower case, without non-alphanumeric characters at either end; empty ones are dropped.
 
-The index is built on the driver for ``shard_items`` entries (items and their pieces) at a time and broadcast; more make
-more passes, so that what is broadcast has a fixed bound (one item's entries stay together). BM25 statistics cover all items. Null or empty texts and items without words
-match nothing. Each distinct text under an item_id, null ids included, is an item of its own and is searched for; the
-result has one row for a doc_id and item_id (null for items without one), that of the best score. Rows with a null
-doc_id are not reported, but ``keep_clean`` judges them too. Other columns are ignored, or passed through.
+The driver reads the items' words (a benchmark is of a size that one machine can hold) and builds the index of
+``shard_items`` entries (items and their pieces) at a time; each is broadcast, so a broadcast has a fixed bound (one
+item's entries stay together), and more shards make more passes over the documents. BM25 statistics cover all items.
+Null or empty texts and items without words match nothing. Each distinct text under an item_id, null ids included, is an
+item of its own and is searched for; the result has one row for a doc_id and item_id (null for items without one), that
+of the best score. Rows with a null doc_id are not reported, but ``keep_clean`` judges them too. Repeated rows of
+documents give one row of the result. An empty table gives no rows, an empty benchmark finds nothing. Other columns are
+ignored, or passed through, whatever their names.
 """
 
 from __future__ import annotations
 
 import bisect
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, keep_rows, map_rows
+from .common import Memo, keep_rows, map_rows, plain
 
 K1, B = 1.2, 0.75
 THRESHOLD, OVERLAP = 0.5, 0.5
 PASSAGE, STRIDE = 128, 64
-BLOCK = 64
+BLOCK = 4
 PIECE, PIECE_STRIDE = 64, 32
 SCHEMA = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
 EMPTY, UNKNOWN = -2, -1
@@ -75,16 +81,25 @@ def entries(whole: list[str]) -> list[list[str]]:
 
 @dataclass
 class Index:
-    """Postings of normalised BM25 impacts of entries, with block maxima, the item of each entry, and what verification needs."""
+    """Postings of normalised BM25 impacts of entries, with block maxima, the item of each entry, and what verification needs.
+
+    postings: by term, the entries that hold it, its impact in each, and its greatest impact by block. The block maxima
+    of term t also lie in maxima[starts[t] : starts[t + 1]], their blocks in blocks.
+    """
 
     ids: list[int | None]
     vocabulary: dict[str, int]
     owner: list[int]
-    postings: list[tuple[list[int], list[float], list[float]]]
-    essential: list[list[tuple[int, float]]]
-    rest: np.ndarray
-    parts: list[list[tuple[int, np.ndarray]]] = field(default_factory=list)
+    postings: list[tuple[list[int], list[float], dict[int, float]]]
     tops: list[float] = field(default_factory=list)
+    parts: list[list[tuple[int, np.ndarray]]] = field(default_factory=list)
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    blocks: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    maxima: np.ndarray = field(default_factory=lambda: np.empty(0))
+
+    @property
+    def n_blocks(self) -> int:
+        return -(-len(self.owner) // BLOCK)
 
 
 def codes(ids: np.ndarray, size: int, n: int) -> np.ndarray:
@@ -100,12 +115,11 @@ def codes(ids: np.ndarray, size: int, n: int) -> np.ndarray:
     return np.unique(out[good])
 
 
-def build(items: list[tuple[int | None, list[str], list[str]]], frequency: dict[str, int], n_items: int, mean_length: float, threshold: float) -> Index:
+def build(items: list[tuple[int | None, list[str], list[str]]], frequency: dict[str, int], n_items: int, mean_length: float) -> Index:
     """items: (item_id, question words, answer words); frequency: items that hold each word, over all shards."""
     vocabulary: dict[str, int] = {}
-    index = Index([], vocabulary, [], [], [], np.empty(0))
-    gathered: dict[int, list[tuple[int, float]]] = {}
-    rest, parts = [], []
+    index = Index([], vocabulary, [], [])
+    parts = []
     for item_id, question, answer in items:
         whole = question if question == answer else question + answer
         index.ids.append(item_id)
@@ -120,79 +134,71 @@ def build(items: list[tuple[int | None, list[str], list[str]]], frequency: dict[
             total = sum(weights.values())
             at = len(index.owner)
             index.owner.append(len(index.ids) - 1)
-            for w in weights:
-                vocabulary.setdefault(w, len(vocabulary))
-            impacts = sorted(((weights[w] / total, vocabulary[w]) for w in weights))
-            light, k = 0.0, 0
-            while k < len(impacts) and light + impacts[k][0] < threshold - 1e-9:
-                light += impacts[k][0]
-                k += 1
-            rest.append(light)
-            for impact, t in impacts:
-                gathered.setdefault(t, []).append((at, impact))
-            for impact, t in impacts[k:]:
-                while len(index.essential) <= t:
-                    index.essential.append([])
-                index.essential[t].append((at, impact))
+            for w, weight in weights.items():
+                t = vocabulary.setdefault(w, len(vocabulary))
+                if t == len(index.postings):
+                    index.postings.append(([], [], {}))
+                held, impacts, maxima = index.postings[t]
+                held.append(at)
+                impacts.append(weight / total)
+                maxima[at // BLOCK] = max(maxima.get(at // BLOCK, 0.0), weight / total)
         parts.append([np.array([vocabulary[w] for w in side], np.int64) for side in (question, answer)])
-    size = len(vocabulary)
-    index.essential += [[] for _ in range(size - len(index.essential))]
-    index.rest = np.array(rest)
-    for t in range(size):
-        docs = [d for d, _ in gathered[t]]
-        impacts = [x for _, x in gathered[t]]
-        maxima = [max(impacts[i : i + BLOCK]) for i in range(0, len(impacts), BLOCK)]
-        index.postings.append((docs, impacts, maxima))
-        index.tops.append(max(impacts))
-    index.parts = [[(n := min(3, len(ids)), codes(ids, size, n)) for ids in pair] for pair in parts]
+    index.tops = [max(impacts) for _, impacts, _ in index.postings]
+    index.parts = [[(n := min(3, len(ids)), codes(ids, len(vocabulary), n)) for ids in pair] for pair in parts]
+    index.starts = np.cumsum([0] + [len(maxima) for _, _, maxima in index.postings])
+    index.blocks = np.array([b for _, _, maxima in index.postings for b in maxima], np.int64)
+    index.maxima = np.array([x for _, _, maxima in index.postings for x in maxima.values()], float)
     return index
 
 
-def wand(index: Index, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-    """Every entry whose score under these distinct terms reaches the threshold: block-max WAND with a fixed bar."""
+def wand(index: Index, terms: list[int], threshold: float, low: int = 0, high: int | None = None) -> list[tuple[int, float]]:
+    """Every entry in [low, high) whose score under these distinct terms reaches the threshold: block-max WAND with a fixed bar."""
     bar = threshold - 1e-9
-    cursors = [[0, t] for t in terms]
+    high = len(index.owner) if high is None else high
+    # A cursor is [entry, place in the list, term].
+    cursors = []
+    for t in terms:
+        held = index.postings[t][0]
+        at = bisect.bisect_left(held, low) if low else 0
+        if at < len(held) and held[at] < high:
+            cursors.append([held[at], at, t])
     found = []
     while cursors:
-        cursors.sort(key=lambda c: index.postings[c[1]][0][c[0]])
+        cursors.sort()
         bound, pivot = 0.0, -1
-        for k, (_, t) in enumerate(cursors):
+        for k, (_, _, t) in enumerate(cursors):
             bound += index.tops[t]
             if bound >= bar:
                 pivot = k
                 break
         if pivot < 0:
             break
-        item = index.postings[cursors[pivot][1]][0][cursors[pivot][0]]
-        while pivot + 1 < len(cursors) and index.postings[cursors[pivot + 1][1]][0][cursors[pivot + 1][0]] == item:
+        item = cursors[pivot][0]
+        while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
             pivot += 1
-        block_bound, boundary = 0.0, None
-        for at, t in cursors[: pivot + 1]:
-            docs, _, maxima = index.postings[t]
-            block = bisect.bisect_left(docs, item, at) // BLOCK
-            if block < len(maxima):
-                block_bound += maxima[block]
-                last = docs[min(len(docs), (block + 1) * BLOCK) - 1]
-                boundary = last if boundary is None else min(boundary, last)
-        if block_bound >= bar:
+        block = item // BLOCK
+        if sum(index.postings[t][2].get(block, 0.0) for _, _, t in cursors[: pivot + 1]) >= bar:
             score = 0.0
-            for cursor in cursors[: pivot + 1]:
-                docs, impacts, _ = index.postings[cursor[1]]
-                cursor[0] = bisect.bisect_left(docs, item, cursor[0])
-                if cursor[0] < len(docs) and docs[cursor[0]] == item:
-                    score += impacts[cursor[0]]
+            for entry, at, t in cursors[: pivot + 1]:
+                held, impacts, _ = index.postings[t]
+                if entry < item:
+                    at = bisect.bisect_left(held, item, at)
+                if at < len(held) and held[at] == item:
+                    score += impacts[at]
             if score >= bar:
                 found.append((item, score))
             skip = item + 1
         else:
-            # No item up to the first block's end can reach the bar, nor any before the next list's item.
-            skip = max(item, boundary if boundary is not None else item) + 1
+            # No entry of this block can reach the bar by these lists, nor any before the next list's entry.
+            skip = (block + 1) * BLOCK
             if pivot + 1 < len(cursors):
-                skip = min(skip, index.postings[cursors[pivot + 1][1]][0][cursors[pivot + 1][0]])
+                skip = min(skip, cursors[pivot + 1][0])
             skip = max(skip, item + 1)
         for cursor in cursors[: pivot + 1]:
-            cursor[0] = bisect.bisect_left(index.postings[cursor[1]][0], skip, cursor[0])
-        cursors = [c for c in cursors if c[0] < len(index.postings[c[1]][0])]
+            held = index.postings[cursor[2]][0]
+            cursor[1] = bisect.bisect_left(held, skip, cursor[1])
+            cursor[0] = held[cursor[1]] if cursor[1] < len(held) else high
+        cursors = [c for c in cursors if c[0] < high]
     return found
 
 
@@ -202,55 +208,88 @@ class Matcher:
     def __init__(self, index: Index, threshold: float, overlap: float):
         self.index, self.threshold, self.overlap = index, threshold, overlap
 
-        def lookup(raw: str) -> int:
-            w = clean_word(raw)
+        def lookup(word: str) -> int:
+            w = clean_word(word)
             return index.vocabulary.get(w, UNKNOWN) if w else EMPTY
 
         self.memo = Memo(lookup)
-        self.has_essential = np.array([bool(e) for e in index.essential], bool)
+
+    def word_ids(self, text: str | None) -> np.ndarray:
+        """The vocabulary's number of each word of a text that isn't empty, UNKNOWN for those that it lacks."""
+        raw = (text or "").lower().split()
+        ids = np.fromiter(map(self.index.vocabulary.get, raw, repeat(UNKNOWN)), np.int64, len(raw))
+        for i in np.flatnonzero(ids == UNKNOWN).tolist():
+            w = raw[i]
+            if not (w[-1].isalnum() and w[0].isalnum()):
+                ids[i] = self.memo[w]
+        return ids[ids != EMPTY]
 
     def __call__(self, text: str | None) -> list[tuple[int | None, float, float, float]]:
-        """(item_id, score, question overlap, answer overlap), each item once, with its best passage's score."""
-        raw = (text or "").split()
-        if not raw or not self.index.ids:
-            return []
-        ids = np.fromiter(map(self.memo.__getitem__, raw), np.int64, len(raw))
-        return self.match(ids[ids != EMPTY])
-
-    def match(self, ids: np.ndarray) -> list[tuple[int | None, float, float, float]]:
-        index, known = self.index, np.flatnonzero(ids >= 0)
-        hits = known[self.has_essential[ids[known]]]
-        if not len(hits):
-            return []
-        windows: set[int] = set()
-        for at in hits.tolist():
-            w = at // STRIDE
-            windows.add(w)
-            if w:
-                windows.add(w - 1)
-        best: dict[int, float] = {}
-        n_windows = max(1, -(-(len(ids) - PASSAGE) // STRIDE) + 1) if len(ids) > PASSAGE else 1
-        for w in windows:
-            if w >= n_windows:
+        return self.batch([text])[0]
+
+    def batch(self, texts: list[str | None]) -> list[list[tuple[int | None, float, float, float]]]:
+        """For each text (item_id, score, question overlap, answer overlap), each item once, with its best passage's score."""
+        out: list[list] = [[] for _ in texts]
+        if not self.index.ids:
+            return out
+        ids = [self.word_ids(text) for text in texts]
+        best: list[dict[int, float]] = [{} for _ in texts]
+        for doc, terms, blocks in self._passages(ids):
+            for block in blocks:
+                for entry, score in wand(self.index, terms, self.threshold, block * BLOCK, (block + 1) * BLOCK):
+                    item = self.index.owner[entry]
+                    best[doc][item] = max(best[doc].get(item, 0.0), score)
+        for doc, scores in enumerate(best):
+            if scores:
+                out[doc] = self._verified(ids[doc], scores)
+        return out
+
+    def _passages(self, ids: list[np.ndarray]) -> Iterator[tuple[int, list[int], list[int]]]:
+        """(text, distinct known terms, blocks whose maxima reach the bar) of each passage that has such blocks."""
+        lengths = np.array([len(x) for x in ids], np.int64)
+        counts = np.where(lengths > PASSAGE, -(-(lengths - PASSAGE) // STRIDE) + 1, 1)
+        first = np.concatenate([[0], np.cumsum(counts)])
+        flat = np.concatenate(ids) if ids else np.empty(0, np.int64)
+        doc = np.repeat(np.arange(len(ids)), lengths)
+        step = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)) // STRIDE
+        known = np.flatnonzero(flat >= 0)
+        flat, doc, step = flat[known], doc[known], step[known]
+        # A word lies in the passage that starts in its own stride and in the one before; both lists are in passage order.
+        sides = []
+        for back in (0, 1):
+            good = (step >= back) & (step - back < counts[doc])
+            sides.append(((first[doc] + step - back)[good], flat[good]))
+        at_once = max(1, (1 << 21) // max(1, self.index.n_blocks, PASSAGE))
+        for low in range(0, int(first[-1]), at_once):
+            cut = [(p[a:b], t[a:b]) for p, t in sides for a, b in [np.searchsorted(p, (low, low + at_once))]]
+            passage, term = np.concatenate([c[0] for c in cut]) - low, np.concatenate([c[1] for c in cut])
+            size = len(self.index.vocabulary)
+            pairs = np.sort(passage * size + term)
+            if not len(pairs):
                 continue
-            part = ids[w * STRIDE : w * STRIDE + PASSAGE]
-            terms = set(part[part >= 0].tolist())
-            found: dict[int, float] = {}
-            for t in terms:
-                for entry, impact in index.essential[t]:
-                    found[entry] = found.get(entry, 0.0) + impact
-            if any(s + index.rest[i] >= self.threshold - 1e-9 for i, s in found.items()):
-                for entry, score in wand(index, sorted(terms), self.threshold):
-                    item = index.owner[entry]
-                    best[item] = max(best.get(item, 0.0), score)
-        if not best:
-            return []
+            pairs = pairs[np.concatenate([[True], pairs[1:] != pairs[:-1]])]
+            passage, term = pairs // size, pairs % size
+            open_blocks = self.bounds(passage, term, at_once) >= self.threshold - 1e-9
+            for hit in np.flatnonzero(open_blocks.any(axis=1)).tolist():
+                a, b = np.searchsorted(passage, (hit, hit + 1))
+                doc_at = int(np.searchsorted(first, hit + low, side="right")) - 1
+                yield doc_at, term[a:b].tolist(), np.flatnonzero(open_blocks[hit]).tolist()
+
+    def bounds(self, passage: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
+        """n passages x blocks: the sums of the block maxima of each passage's terms."""
+        index = self.index
+        many = (index.starts[1:] - index.starts[:-1])[term]
+        where = np.arange(many.sum()) + np.repeat(index.starts[term] - (np.cumsum(many) - many), many)
+        keys = np.repeat(passage, many) * index.n_blocks + index.blocks[where]
+        return np.bincount(keys, index.maxima[where], n * index.n_blocks).reshape(n, -1)
+
+    def _verified(self, ids: np.ndarray, scores: dict[int, float]) -> list[tuple[int | None, float, float, float]]:
         grams: dict[int, np.ndarray] = {}
         out = []
-        for item, score in sorted(best.items()):
-            shares = [self._share(ids, grams, *part) for part in index.parts[item]]
+        for item, score in sorted(scores.items()):
+            shares = [self._share(ids, grams, *part) for part in self.index.parts[item]]
             if min(shares) >= self.overlap:
-                out.append((index.ids[item], round(score, 6), round(shares[0], 6), round(shares[1], 6)))
+                out.append((self.index.ids[item], round(score, 6), round(shares[0], 6), round(shares[1], 6)))
         return out
 
     def _share(self, ids: np.ndarray, grams: dict[int, np.ndarray], n: int, part: np.ndarray) -> float:
@@ -263,12 +302,12 @@ class Matcher:
 def load_items(benchmark: DataFrame) -> list[tuple[int | None, list[str], list[str]]]:
     """Each distinct item; several may share an id, or have none."""
     sides = ["question", "answer"] if {"question", "answer"} <= set(benchmark.columns) else ["text"]
-    rows = benchmark.select("item_id", *(F.coalesce(c, F.lit("")).alias(c) for c in sides)).distinct()
+    rows = plain(benchmark, "item_id", *sides).select("item_id", *(F.coalesce(c, F.lit("")).alias(c) for c in sides)).distinct()
     read = [(r[0], *((words(r[1]), words(r[2])) if len(sides) == 2 else question_answer(r[1]))) for r in rows.toLocalIterator()]
     return list({(i, tuple(q), tuple(a)): (i, q, a) for i, q, a in read if q or a}.values())
 
 
-def indexes(benchmark: DataFrame, threshold: float, shard_items: int = 20_000) -> list[Index]:
+def indexes(benchmark: DataFrame, shard_items: int = 20_000) -> Iterator[Index]:
     """The items as indexes of at most ``shard_items`` entries each (more only if one item has more), under statistics of all."""
     items = sorted(load_items(benchmark), key=lambda i: (i[0] is None, i[0] or 0, i[1], i[2]))
     frequency: dict[str, int] = {}
@@ -278,43 +317,43 @@ def indexes(benchmark: DataFrame, threshold: float, shard_items: int = 20_000) -
         length += len(whole)
         for w in set(whole):
             frequency[w] = frequency.get(w, 0) + 1
-    shards: list[list] = []
-    room = 0
+    shard: list = []
+    room = shard_items
     for item in items:
         n = len(entries(item[1] if item[1] == item[2] else item[1] + item[2]))
-        if not shards or n > room:
-            shards.append([])
-            room = shard_items
-        shards[-1].append(item)
+        if shard and n > room:
+            yield build(shard, frequency, len(items), length / len(items))
+            shard, room = [], shard_items
+        shard.append(item)
         room -= n
-    return [build(shard, frequency, len(items), length / len(items), threshold) for shard in shards]
+    if shard:
+        yield build(shard, frequency, len(items), length / len(items))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_items: int = 20_000) -> DataFrame:
     """Documents with the test items that they hold."""
-    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
-    out = None
-    for index in indexes(benchmark, threshold, shard_items) or [Index([], {}, [], [], [], np.empty(0))]:
+    named = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    out = docs.sparkSession.createDataFrame([], SCHEMA)
+    for index in indexes(benchmark, shard_items):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def make(sent=sent):
             find = Matcher(sent.value, threshold, overlap)
-            return lambda ids, texts: ((i, *m) for i, t in zip(ids, texts, strict=True) for m in find(t))
+            return lambda ids, texts: ((i, *m) for i, found in zip(ids, find.batch(texts), strict=True) for m in found)
 
-        part = map_rows(named, ["doc_id", "text"], make, SCHEMA)
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(map_rows(named, ["doc_id", "text"], make, SCHEMA))
     best = F.max(F.struct("score", "question_overlap", "answer_overlap")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, shard_items: int = 20_000) -> DataFrame:
     """The documents that hold no test item, with all their columns; no shuffle."""
-    for index in indexes(benchmark, threshold, shard_items):
+    for index in indexes(benchmark, shard_items):
         sent = docs.sparkSession.sparkContext.broadcast(index)
 
         def make(sent=sent):
             find = Matcher(sent.value, threshold, overlap)
-            return lambda texts: [not find(t) for t in texts]
+            return lambda texts: [not found for found in find.batch(texts)]
 
         docs = keep_rows(docs, ["text"], make)
     return docs

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from loamstack.llm import decontaminate as D
@@ -13,14 +14,52 @@ def text(rng: random.Random, n: int) -> str:
     return " ".join(f"w{int(rng.random() ** 2 * 5000)}" for _ in range(n))
 
 
-def found(items: list[tuple[int, str]], doc: str) -> list[int]:
+def index_of(items: list[tuple[int, str]]) -> D.Index:
     frequency: dict[str, int] = {}
     for _, t in items:
         for w in set(D.words(t)):
             frequency[w] = frequency.get(w, 0) + 1
     mean = sum(len(D.words(t)) for _, t in items) / len(items)
-    index = D.build([(i, *D.question_answer(t)) for i, t in items], frequency, len(items), mean, D.THRESHOLD)
-    return [m[0] for m in D.Matcher(index, D.THRESHOLD, D.OVERLAP)(doc)]
+    return D.build([(i, *D.question_answer(t)) for i, t in items], frequency, len(items), mean)
+
+
+def exhaustive(index: D.Index, terms: set[int], bar: float) -> dict[int, float]:
+    """Every entry's score, one at a time."""
+    scores = {e: sum(x for t in terms for d, x in zip(*index.postings[t][:2], strict=True) if d == e) for e in range(len(index.owner))}
+    return {e: s for e, s in scores.items() if s >= bar - 1e-9}
+
+
+@pytest.mark.parametrize("bar", [0.05, 0.2, 0.5])
+def test_wand_is_exhaustive_scoring(bar):
+    rng = random.Random(bar)
+    index = index_of([(i, text(rng, rng.choice((1, 5, 30, 90)))) for i in range(60)])
+    for _ in range(60):
+        terms = set(rng.sample(range(len(index.vocabulary)), rng.randint(1, 80))) | set(rng.choices([t for t, p in enumerate(index.postings) if len(p[0]) > 3], k=20))
+        got = dict(D.wand(index, sorted(terms), bar))
+        want = exhaustive(index, terms, bar)
+        assert got.keys() == want.keys()
+        assert all(abs(got[e] - want[e]) < 1e-9 for e in got)
+        assert {e for e, _ in D.wand(index, sorted(terms), bar, 8, 24)} == {e for e in want if 8 <= e < 24}
+
+
+def test_batches_lose_no_passage():
+    rng = random.Random(9)
+    index = index_of([(i, text(rng, 30)) for i in range(40)])
+    texts = [text(rng, n) for n in (0, 1, 63, 64, 127, 128, 129, 192, 193, 640, 3000)] + [None, "  ", "!!! ???"]
+    ids = [np.array([i for w in D.words(t) for i in [index.vocabulary.get(w, -1)]], np.int64) for t in texts]
+    find = D.Matcher(index, 0.1, 0.0)
+    got = {}
+    for doc, terms, blocks in find._passages(ids):
+        got.setdefault(doc, {}).setdefault(tuple(sorted(terms)), set()).update(blocks)
+    for doc, own in enumerate(ids):
+        for at in range(0, max(1, len(own) - D.PASSAGE + D.STRIDE), D.STRIDE):
+            terms = {int(t) for t in own[at : at + D.PASSAGE] if t >= 0}
+            for entry in exhaustive(index, terms, 0.1):
+                assert entry // D.BLOCK in got[doc][tuple(sorted(terms))]
+
+
+def found(items: list[tuple[int, str]], doc: str) -> list[int]:
+    return [m[0] for m in D.Matcher(index_of(items), D.THRESHOLD, D.OVERLAP)(doc)]
 
 
 @pytest.mark.parametrize("length", [20, 64, 65, 100, 128, 256, 300, 500, 2000])
