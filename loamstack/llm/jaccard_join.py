@@ -1,23 +1,26 @@
 """Operator 9: join of documents by the Jaccard similarity of their word n-gram sets.
 
 MinHash banding with bands and rows chosen for a target recall, a shuffle on band hashes, and verification on full
-n-gram sets. No bucket is capped:
+n-gram sets. No bucket is capped, and no list of pairs is ever shuffled:
 
-1. Documents with the same n-gram set become one; the others of them are listed against the lowest id (similarity 1).
-2. In each band bucket the lowest set leads. A set's home is the lowest of its leaders, so that a large family of
-   near copies shares one home and never unfolds into candidate pairs: a home compares all its members.
-3. Members of one bucket with different homes are candidate pairs and are compared in the lower home.
+1. Documents with the same n-gram set become one node.
+2. In each band bucket the lowest node leads. A node's home is the lowest of its leaders, so that a large family of
+   near copies shares one home: a home compares all its members.
+3. Where a bucket holds nodes of several homes, each node is also a guest at the lower homes of that bucket, and is
+   compared with their members there. So every two nodes of a bucket meet exactly once: at home, or at the lower home.
 4. Homes are cut into blocks of bounded n-gram count, and each pair of blocks is one unit of work, so that no task
-   holds more than two blocks.
+   holds more than two blocks. A unit gives each node's number of links, and of the links themselves only a spanning
+   forest, as many as it has nodes at most; the sums of the one are exact and the other joins the same classes.
 
-The result has (doc_a, doc_b, jaccard) with doc_a < doc_b: each pair of distinct sets at or above the threshold, by
-their lowest ids, and each further copy with its lowest id; ``expand_copies`` gives all pairs.
+``linked`` has a row for each document that has a link: (doc_id, class_id, n_links, n_copies). n_links counts the other
+n-gram sets at or above the threshold, n_copies the other documents with the same set, class_id is the lowest doc_id
+that can be reached over links and copies. Documents without either have no row.
 
 Words are runs of non-blank characters, in lower case. A text of fewer words than n is one n-gram of all its words; a
 text without words (null, empty, blank) has no n-grams and joins nothing. Rows with a null id are left out, repeated
 rows of one id count once. Each distinct set is compared under a key of its own (in the order of its lowest id, then of
-its hash), so different texts under one id are all compared; a pair of ids is listed once, with its greatest similarity,
-and never an id with itself. Columns besides doc_id and text are ignored. An empty table gives no pairs.
+its hash), so different texts under one id are all compared, and such an id has a row for each set of it that is linked.
+Columns besides doc_id and text are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -32,10 +35,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, cut, map_rows, maybe_in, nullable, pieces, to_arrow
+from .common import Memo, cut, map_rows, maybe_in, nullable, pieces, plain, to_arrow
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.98
-PAIRS = "node_a bigint, node_b bigint, doc_a bigint, doc_b bigint, jaccard double"
+#: Either a node and its links in one unit, or (links null) an edge of the spanning forest.
+LINKS = "node bigint, other bigint, links bigint"
 
 
 def bands_and_rows(threshold: float, recall: float, most_bands: int = 32) -> tuple[int, int]:
@@ -119,87 +123,68 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
         return work
 
-    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
+    named = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null")
     return map_rows(named, ["doc_id", "text"], make, "doc_id bigint, set_key binary, n_grams int, bands array<bigint>")
 
 
 BLOCK_GRAMS = 1 << 20
 
 
-def jaccard_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """All pairs at or above the threshold, in the form that the module describes."""
-    signed, sets, near = set_pairs(docs, n, threshold, recall)
-    copies = (
-        signed.select("set_key", "doc_id")
-        .join(sets.where("rows > 1").select("set_key", "rep"), "set_key")
-        .where("doc_id <> rep")
-        .select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+def linked(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Each document's class and links, in the form that the module describes."""
+    signed, sets, links = set_links(docs, n, threshold, recall)
+    degree = links.where("links is not null").groupBy("node").agg(F.sum("links").alias("n_links"))
+    label = components(links).withColumnsRenamed({"doc_id": "node", "group_id": "lead"})
+    lead = label.join(sets.select(F.col("node").alias("lead"), F.col("rep").alias("class_id")), "lead").select("node", "class_id")
+    found = (
+        sets.select("node", "set_key", "rep", "rows")
+        .join(degree, "node", "left")
+        .join(lead, "node", "left")
+        .where("rows > 1 or n_links > 0")
+        .select("set_key", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.col("rows") - 1).alias("n_copies"))
     )
-    # An id with several sets may meet another more than once.
-    both = copies.unionByName(near.where("doc_a < doc_b").select("doc_a", "doc_b", "jaccard"))
-    return both.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    return signed.select("doc_id", "set_key").distinct().join(found, "set_key").select("doc_id", "class_id", "n_links", "n_copies")
 
 
-def set_pairs(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, set_key) of the rows; (node, set_key, rep, rows) of the distinct sets; and their pairs, with the sets' nodes and lowest ids."""
+def set_links(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, set_key) of the rows; (node, set_key, rep, rows) of the distinct sets, rows counting documents; and LINKS."""
     bands, rows = bands_and_rows(threshold, recall)
     signed = cut(signatures(docs, n, bands, rows), "signatures")
     # Nodes are in the order of (rep, set_key), so what leads a bucket doesn't depend on the partitions.
-    sets = signed.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("n_grams", "bands"), "doc_id").alias("sign"), F.count(F.lit(1)).alias("rows"))
+    once = signed.groupBy("set_key", "doc_id").agg(F.first("n_grams").alias("n_grams"), F.first("bands").alias("bands"))
+    sets = once.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n_grams", "bands")).alias("sign"), F.count(F.lit(1)).alias("rows"))
     sets = cut(sets.repartitionByRange("rep", "set_key").sortWithinPartitions("rep", "set_key").withColumn("node", F.monotonically_increasing_id()), "sets")
-    nodes = sets.select("node", "sign.n_grams", "sign.bands")
-
-    bucket = Window.partitionBy("band", "hash")
-    crowded = cut(
-        nodes.select("node", "n_grams", F.posexplode("bands").alias("band", "hash"))
-        .withColumns({"lead": F.min("node").over(bucket), "members": F.count(F.lit(1)).over(bucket)})
-        .where("members > 1")
-        .select("band", "hash", "node", "n_grams", "lead"),
-        "buckets",
-    )
-    homes = cut(crowded.groupBy("node").agg(F.min("lead").alias("home"), F.first("n_grams").alias("n_grams")), "homes")
-    at = Window.partitionBy("band", "hash")
-    mixed = (
-        crowded.select("band", "hash", "node")
-        .join(homes.select("node", "home"), "node")
-        .withColumns({"lo": F.min("home").over(at), "hi": F.max("home").over(at)})
-        .where("lo < hi")
-        .select("band", "hash", "node", "home")
+
+    # A bucket's lead and size come from an aggregate and a join, not from a window, so that a hot bucket is split.
+    seen = sets.select("node", F.posexplode("sign.bands").alias("band", "hash")).select("node", F.xxhash64("band", "hash").alias("bucket"))
+    leads = seen.groupBy("bucket").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket", "lead")
+    crowded = cut(seen.join(leads, "bucket"), "buckets")
+    homes = crowded.groupBy("node").agg(F.min("lead").alias("home"))
+    homes = cut(homes.join(sets.select("node", "sign.n_grams"), "node"), "homes")
+    settled = crowded.select("bucket", "node").join(homes.select("node", "home"), "node")
+    mixed = settled.groupBy("bucket").agg(F.min("home").alias("lo"), F.max("home").alias("hi")).where("lo < hi").select("bucket")
+    settled = cut(settled.join(mixed, "bucket"), "mixed")
+    hosts = settled.select("bucket", F.col("home").alias("host")).distinct()
+    guests = settled.join(hosts, "bucket").where("host < home").select(F.col("host").alias("home"), "node").distinct()
+
+    seats = homes.select("home", "node", "n_grams", F.lit(True).alias("own")).unionByName(
+        guests.join(homes.select("node", "n_grams"), "node").select("home", "node", "n_grams", F.lit(False).alias("own"))
     )
-    left = mixed.select("band", "hash", F.col("node").alias("a"), F.col("home").alias("home_a"))
-    right = mixed.select("band", "hash", F.col("node").alias("b"), F.col("home").alias("home_b"))
-    strangers = cut(left.join(right, ["band", "hash"]).where("home_a < home_b").select(F.col("home_a").alias("home"), "a", "b").distinct(), "strangers")
-
-    # Blocks of each home: its own members, then the strangers that are compared there.
-    own = homes.select("home", "node", "n_grams", F.lit(True).alias("own"))
-    guests = strangers.select("home", F.col("b").alias("node")).distinct().join(homes.select("node", "n_grams"), "node").select("home", "node", "n_grams", F.lit(False).alias("own"))
-    seats = own.unionByName(guests)
+    seats = cut(seats, "seats")
     sizes = seats.groupBy("home").agg(F.ceil(F.sum("n_grams") / F.lit(BLOCK_GRAMS)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("seats")).where("seats > 1")
-    placed = cut(
-        seats.join(sizes.select("home", "blocks"), "home").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")),
-        "seats",
-    )
-    # A unit is a pair of blocks; each seat goes to the units of its own block, each stranger pair to the unit of both.
+    placed = seats.join(sizes.select("home", "blocks"), "home").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # A unit is a pair of blocks; each seat goes to the units of its own block.
     units = placed.select(
         "home", "node", "own", "block",
         F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("x"), F.greatest(k, F.col("block")).alias("y")))).alias("unit"),
     ).select("home", "unit.x", "unit.y", "node", "own", "block")
-    pairs_at = (
-        strangers.join(placed.select("home", F.col("node").alias("a"), F.col("block").alias("block_a")), ["home", "a"])
-        .join(placed.select("home", F.col("node").alias("b"), F.col("block").alias("block_b")), ["home", "b"])
-        .select("home", F.least("block_a", "block_b").alias("x"), F.greatest("block_a", "block_b").alias("y"), "a", "b")
-    )
     key_of = cut(placed.select("node").distinct().join(sets.select("node", "rep", "set_key"), "node"), "keys")
-    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    named = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     likely = gram_sets(maybe_in(named, key_of.select("rep")).where("__maybe"), n)
-    grams = likely.join(key_of, (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("set_key"))).select("node", "doc_id", "grams").dropDuplicates(["node"])
-    seated = units.join(grams, "node").select("home", "x", "y", "node", "doc_id", "own", "block", "grams")
-    verified = (
-        seated.groupBy("home", "x", "y")
-        .cogroup(pairs_at.groupBy("home", "x", "y"))
-        .applyInArrow(_verifier(threshold), T.StructType.fromDDL(PAIRS))
-    )
-    return signed, sets, verified
+    grams = likely.join(key_of, (F.col("doc_id") == F.col("rep")) & (F.col("key") == F.col("set_key"))).select("node", "grams").dropDuplicates(["node"])
+    seated = units.join(grams, "node").select("home", "x", "y", "node", "own", "block", "grams")
+    links = seated.groupBy("home", "x", "y").applyInArrow(_verifier(threshold), T.StructType.fromDDL(LINKS))
+    return signed, sets, cut(links, "links")
 
 
 def gram_sets(docs: DataFrame, n: int) -> DataFrame:
@@ -219,87 +204,79 @@ def gram_sets(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _verifier(threshold: float):
-    kind = to_arrow(T.StructType.fromDDL(PAIRS))
-
-    def verify(seats: pa.Table, pairs: pa.Table) -> pa.Table:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        if seats.num_rows > 1:
-            for columns in compare(seats, pairs, threshold):
-                for to, values in zip(out, columns, strict=True):
-                    to.append(values)
-        columns = [np.concatenate(c) if c else np.empty(0) for c in out]
-        return pa.table([pa.array(c, type=f.type) for f, c in zip(kind, columns, strict=True)], schema=kind)
+    kind = to_arrow(T.StructType.fromDDL(LINKS))
+
+    def verify(seats: pa.Table) -> pa.Table:
+        node = np.array(seats["node"].to_pylist(), np.int64)
+        order = np.argsort(node)
+        sets = seats["grams"].to_pylist()
+        degree, edges = compare(
+            [np.frombuffer(sets[i], np.uint64) for i in order],
+            np.array(seats["own"].to_pylist(), bool)[order],
+            np.array(seats["block"].to_pylist())[order],
+            threshold,
+        )
+        node = node[order]
+        some = np.flatnonzero(degree)
+        a, b = (node[np.array([e[k] for e in edges], np.int64)] for k in (0, 1))
+        columns = (
+            pa.array(np.concatenate([node[some], a])),
+            pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(b)]),
+            pa.concat_arrays([pa.array(degree[some]), pa.nulls(len(b), pa.int64())]),
+        )
+        return pa.table(list(columns), schema=kind)
 
     return verify
 
 
-def compare(seats: pa.Table, pairs: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, ...]]:
-    """Verified pairs of one unit: own members with each other (across its two blocks, or within its one), and the listed pairs."""
-    node = np.array(seats["node"].to_pylist(), np.int64)
-    doc = np.array(seats["doc_id"].to_pylist(), np.int64)
-    own = np.array(seats["own"].to_pylist(), bool)
-    block = np.array(seats["block"].to_pylist())
-    order = np.argsort(node, kind="stable")
-    node, doc, own, block = node[order], doc[order], own[order], block[order]
-    sets = seats["grams"].to_pylist()
-    sets = [np.frombuffer(sets[i], np.uint64) for i in order]
+def compare(sets: list[np.ndarray], own: np.ndarray, block: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Links of each set in one unit, and a spanning forest of them. Compared are members with each other and with guests, across the unit's two blocks, or within its one."""
+    m = len(sets)
     size = np.array([len(s) for s in sets])
-    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    start = np.cumsum(size) - size
     vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    x, y = seats["x"][0].as_py(), seats["y"][0].as_py()
-    listed: dict[int, list[int]] = {}
-    place = {d: i for i, d in enumerate(node.tolist())}
-    for a, b in zip(pairs["a"].to_pylist(), pairs["b"].to_pylist(), strict=True):
-        if a in place and b in place:
-            i, j = sorted((place[a], place[b]))
-            listed.setdefault(i, []).append(j)
+    # Postings: the sets that hold each gram, in order.
+    holder = np.repeat(np.arange(m), size)[np.argsort(flat, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(vocabulary)))])
+    across = block.min() != block.max()
+    degree, label = np.zeros(m, np.int64), np.arange(m)
+    edges: list[tuple[int, int]] = []
     mark = np.zeros(len(vocabulary), bool)
-    everyone = np.arange(len(doc))
-    for i in range(len(doc)):
-        partner = np.zeros(len(doc), bool)
-        if own[i]:
-            partner[i + 1 :] = own[i + 1 :] & ((block[i + 1 :] != block[i]) if x != y else True)
-        if i in listed:
-            partner[listed[i]] = True
+    for i in range(m - 1):
+        partner = np.arange(m) > i
+        partner &= own | own[i]
+        if across:
+            partner &= block != block[i]
+        partner &= np.minimum(size, size[i]) >= threshold * np.maximum(size, size[i])
         if not partner.any():
             continue
-        low, high = np.minimum(size, size[i]), np.maximum(size, size[i])
-        partner &= low >= threshold * high
-        js = everyone[partner]
-        if not len(js):
-            continue
         mine = flat[start[i] : start[i] + size[i]]
-        mark[mine] = True
-        if 2 * size[js].sum() > len(flat):
-            both = np.add.reduceat(mark[flat].astype(np.int32), start)[js]
+        low, many = first[mine], first[mine + 1] - first[mine]
+        if 4 * many.sum() < len(flat):
+            where = np.arange(many.sum()) + np.repeat(low - (np.cumsum(many) - many), many)
+            both = np.bincount(holder[where], minlength=m)
         else:
-            both = np.array([mark[flat[start[j] : start[j] + size[j]]].sum() for j in js])
-        mark[mine] = False
-        score = both / (size[i] + size[js] - both)
-        good = score >= threshold
-        if good.any():
-            yield np.full(good.sum(), node[i]), node[js[good]], np.full(good.sum(), doc[i]), doc[js[good]], score[good]
-
-
-def expand_copies(pairs: DataFrame) -> DataFrame:
-    """Every pair of documents, copies included, from the result of jaccard_pairs."""
-    copies = pairs.where("jaccard = 1").select("doc_a", "doc_b")
-    ids = pairs.select(F.col("doc_a").alias("doc")).union(pairs.select("doc_b")).distinct()
-    leads = ids.join(copies.select(F.col("doc_b").alias("doc"), F.col("doc_a").alias("lead")), "doc", "left").select("doc", F.coalesce("lead", "doc").alias("lead"))
-    near = pairs.where("jaccard < 1")
-    a = leads.select(F.col("doc").alias("a"), F.col("lead").alias("doc_a"))
-    b = leads.select(F.col("doc").alias("b"), F.col("lead").alias("doc_b"))
-    across = near.join(a, "doc_a").join(b, "doc_b").select("a", "b", "jaccard")
-    within = a.join(b.withColumnRenamed("doc_b", "doc_a"), "doc_a").where("a < b").select("a", "b", F.lit(1.0).alias("jaccard"))
-    return across.unionByName(within).select(F.least("a", "b").alias("doc_a"), F.greatest("a", "b").alias("doc_b"), "jaccard")
-
-
-def components(pairs: DataFrame, name: str = "components") -> DataFrame:
-    """(doc_id, group_id) of every document in a pair: the lowest id that it is linked to, over any number of pairs.
+            mark[mine] = True
+            both = np.add.reduceat(mark[flat].astype(np.int32), start)
+            mark[mine] = False
+        good = np.flatnonzero(partner & (both >= threshold * (size + size[i] - both)))
+        if not len(good):
+            continue
+        degree[i] += len(good)
+        degree[good] += 1
+        for other, at in zip(*np.unique(label[good], return_index=True), strict=True):
+            if other != label[i]:
+                edges.append((i, int(good[at])))
+                label[label == other] = label[i]
+    return degree, edges
+
+
+def components(links: DataFrame, name: str = "components") -> DataFrame:
+    """(doc_id, group_id) of every node in an edge of LINKS: the lowest that it is linked to, over any number of edges.
 
     Hash-to-min with each round cut into the shared folder, until nothing changes.
     """
-    edges = pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
+    edges = links.where("links is null").select(F.col("node").alias("a"), F.col("other").alias("b"))
     both = cut(edges.union(edges.select("b", "a")).distinct(), name)
     label = cut(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.min("b"), F.first("a")).alias("group_id")), name)
     while True:
@@ -334,12 +311,12 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     (that of the lowest doc_id; of several under it, that of the least set hash).
 
     Rows are judged by their own text, so other texts under the id of a copy stay. Of rows that repeat a doc_id and its n-gram set
-    the one with the least text stays. Rows with a null id or without n-grams are no copies and stay.
-    Only rows that may be copies are shuffled with their texts.
+    one with the least text stays. Rows with a null id or without n-grams are no copies and stay.
+    Only rows that may be copies are shuffled with their texts, and no more than one of equal rows of an id goes to one task.
     """
-    signed, sets, near = set_pairs(docs, n, threshold, recall)
-    groups = components(near.select(F.col("node_a").alias("doc_a"), F.col("node_b").alias("doc_b")))
-    lost = groups.where("doc_id <> group_id").select(F.col("doc_id").alias("node"), F.lit(True).alias("lost"))
+    names, docs = docs.columns, plain(docs, "doc_id", "text")
+    signed, sets, links = set_links(docs, n, threshold, recall)
+    lost = components(links).where("doc_id <> group_id").select(F.col("doc_id").alias("node"), F.lit(True).alias("lost"))
     judged = sets.join(lost, "node", "left").where("lost or rows > 1").select("set_key", "rep", F.coalesce("lost", F.lit(False)).alias("lost"))
     gone = signed.select("doc_id", "set_key").join(judged, "set_key").where("lost or doc_id <> rep")
     losers = cut(gone.select(F.col("doc_id").alias("__loser"), F.col("set_key").alias("__lost")).distinct(), "losers")
@@ -352,6 +329,7 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall:
     single = doubtful.join(twice, doc == F.col("__twice"), "left_anti").join(losers, doc == F.col("__loser"), "left_anti")
     several = with_keys(doubtful.join(twice, doc == F.col("__twice"), "left_semi"), n)
     left = several.join(losers, (doc == F.col("__loser")) & (F.col("__key") == F.col("__lost")), "left_anti")
-    first = Window.partitionBy("doc_id", "__key").orderBy("text")
-    kept = left.withColumn("__first", F.row_number().over(first)).where("__first = 1 or __key is null").drop("__first", "__key")
-    return flagged.where("not __maybe").drop("__maybe").unionByName(single).unionByName(kept)
+    row = F.struct(*docs.columns)
+    kept = left.where("__key is not null").groupBy("doc_id", "__key").agg(F.min_by(row, F.struct("text")).alias("__row")).select("__row.*")
+    bare = left.where("__key is null").select(*docs.columns)
+    return flagged.where("not __maybe").drop("__maybe").unionByName(single).unionByName(kept).unionByName(bare).toDF(*names)

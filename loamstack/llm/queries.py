@@ -45,7 +45,7 @@ def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.jaccard_pairs(table(spark, sf_dir, "documents")).selectExpr("doc_a", "doc_b", "round(jaccard, 6) as jaccard")
+    return jaccard_join.linked(table(spark, sf_dir, "documents"))
 
 
 def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,21 +61,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 } | {"pipeline": corpus_pipeline.run}
 
 JACCARD_SQL = f"""
-WITH words AS (
+WITH RECURSIVE words AS (
     SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '') AS w
     FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), grams AS (
     SELECT doc_id, list_sort(list_distinct(list_transform(
         range(1, greatest(1, len(w) - {jaccard_join.N - 1}) + 1), lambda i: array_to_string(w[i : i + {jaccard_join.N - 1}], ' ')))) AS g
     FROM words WHERE len(w) > 0
-), sets AS (SELECT min(doc_id) AS rep, g FROM grams GROUP BY g),
-copies AS (SELECT s.rep AS doc_a, d.doc_id AS doc_b, 1.0::DOUBLE AS jaccard FROM grams d JOIN sets s ON d.g = s.g WHERE d.doc_id <> s.rep),
+), sets AS (SELECT min(doc_id) AS rep, g, count(*) - 1 AS n_copies FROM grams GROUP BY g),
 one AS (SELECT rep, len(g) AS n, unnest(g) AS gram FROM sets),
 near AS (
-    SELECT a.rep AS doc_a, b.rep AS doc_b, count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE AS jaccard
-    FROM one a JOIN one b ON a.gram = b.gram AND a.rep < b.rep GROUP BY 1, 2
-)
-SELECT doc_a, doc_b, round(jaccard, 6) AS jaccard FROM (SELECT * FROM copies UNION ALL SELECT * FROM near) WHERE jaccard >= {jaccard_join.THRESHOLD}
+    SELECT a.rep AS a, b.rep AS b FROM one a JOIN one b ON a.gram = b.gram AND a.rep <> b.rep GROUP BY 1, 2
+    HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*))::DOUBLE >= {jaccard_join.THRESHOLD}
+), degree AS (SELECT a AS rep, count(*) AS n_links FROM near GROUP BY 1),
+reach AS (SELECT rep, rep AS label FROM degree UNION SELECT near.b, reach.label FROM reach JOIN near ON near.a = reach.rep),
+class AS (SELECT rep, min(label) AS class_id FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(c.class_id, s.rep) AS class_id, coalesce(n.n_links, 0) AS n_links, s.n_copies
+FROM grams d JOIN sets s ON d.g = s.g LEFT JOIN degree n ON n.rep = s.rep LEFT JOIN class c ON c.rep = s.rep
+WHERE s.n_copies > 0 OR n.n_links > 0
 """
 
 ORACLE_SQL: dict[str, str] = {"op2_secret_scan": secret_scan.oracle(), "op9_jaccard_join": JACCARD_SQL}
