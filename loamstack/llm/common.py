@@ -121,10 +121,7 @@ def to_arrow(schema: T.StructType) -> pa.Schema:
 
 def word_count(text: str = "text"):
     """Runs of non-blank characters in a text; 0 for null and empty ones. Stays in the JVM."""
-    trimmed = F.trim(F.regexp_replace(F.col(text), r"\s+", " "))
-    return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, F.lit(0)).otherwise(
-        F.length(trimmed) - F.length(F.translate(trimmed, " ", "")) + 1
-    ).cast("bigint")
+    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("bigint")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -149,27 +146,31 @@ BITMAP_BITS = 1 << 26
 _WORD = 32768
 
 
-def maybe_in(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """``docs`` with a flag ``__maybe``: false only if the row's id is surely not among ``ids`` (one column of integers).
-
-    The ids are hashed into a bitmap of fixed size (8 MB) that is broadcast, so what is sent doesn't grow with the
-    data; past its capacity more rows are flagged, and the join that follows decides. Null ids are not flagged.
-    """
-    (name,) = ids.columns
+def _slot(column):
+    return F.pmod(F.xxhash64(column.cast("bigint")), F.lit(BITMAP_BITS))
 
-    def slot(column):
-        return F.pmod(F.xxhash64(column.cast("bigint")), F.lit(BITMAP_BITS))
 
-    bitmap = (
+def bitmap(ids: DataFrame) -> DataFrame:
+    """The slots of the ids (one column of integers) as BITMAP_BITS / 32768 rows at most, of 4 KB each."""
+    (name,) = ids.columns
+    return (
         ids.where(F.col(name).isNotNull())
-        .select(slot(F.col(name)).alias("__slot"))
+        .select(_slot(F.col(name)).alias("__slot"))
         .groupBy(F.floor(F.col("__slot") / _WORD).cast("bigint").alias("__word"))
         .agg(F.bitmap_construct_agg(F.col("__slot") % _WORD).alias("__bits"))
     )
-    at = slot(docs[id_column])
+
+
+def maybe_in(docs: DataFrame, ids: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """``docs`` with a flag ``__maybe``: false only if the row's id is surely not among ``ids`` (one column of integers).
+
+    The ids are hashed into a bitmap of fixed size (8 MB, twice that as a hash table) that is broadcast, so what is sent
+    doesn't grow with the data; past its capacity more rows are flagged, and the join that follows decides. Null ids are
+    not flagged.
+    """
     held = F.expr(
         "shiftright(cast(conv(hex(substring(__bits, cast(floor(__at % 32768 / 8) as int) + 1, 1)), 16, 10) as int), cast(__at % 8 as int)) & 1 = 1"
     )
-    joined = docs.withColumn("__at", at).join(F.broadcast(bitmap), F.floor(F.col("__at") / _WORD) == F.col("__word"), "left")
+    joined = docs.withColumn("__at", _slot(docs[id_column])).join(F.broadcast(bitmap(ids)), F.floor(F.col("__at") / _WORD) == F.col("__word"), "left")
     bit = F.col("__bits").isNotNull() & docs[id_column].isNotNull() & held
     return joined.withColumn("__maybe", F.coalesce(bit, F.lit(False))).select(*docs.columns, "__maybe")
