@@ -9,7 +9,8 @@ words agree best with the labelled ones. The article tag itself is no feature.
 Weights are fitted on ``pages`` labelled pages at most, those with the least hash of page_id; extraction covers every
 page whole. Scripts, styles and comments are dropped; entities are decoded. Pages that are null, empty or without words
 give a row with null text, score 0. Of runs with the same score the first is taken, and of those the shortest. Repeated
-rows are judged one by one; columns besides page_id and html are ignored; without labelled pages DEFAULT weights hold.
+rows are judged one by one, those without page_id too; columns besides page_id and html are ignored, whatever their
+names; without labelled pages DEFAULT weights hold. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,27 +23,47 @@ from collections import Counter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, plain
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)[^>]*>|<[!?][^>]*>", re.S | re.I)
+#: What a markup token starts with; where it ends is looked for once, from there.
+OPEN = re.compile(r"<!--|<(script|style|noscript|template)\b|<(/?)([a-zA-Z][a-zA-Z0-9]*)|<[!?]", re.I)
 SCHEMA = "page_id bigint, start_char int, end_char int, n_words int, score double, content string"
 #: Tokens of one page: (start, end, tag name or None for text, words).
 Tokens = list[tuple[int, int, str | None, int]]
 DEFAULT = {"": 1.0, "*": -3.0}
+CLOSE = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template")}
 
 
 def tokens(page: str) -> Tokens:
-    """Dropped parts have the name ``!``; end tags the name with a slash before it."""
+    """Dropped parts have the name ``!``; end tags the name with a slash before it.
+
+    A comment, script, style or template without an end goes to the end of the page; a tag or declaration without ``>``
+    is text. Linear in the page: once no ``>`` follows, none is looked for again.
+    """
     out: Tokens = []
-    at = 0
-    for m in TOKEN.finditer(page):
+    at = look = 0
+    last = page.rfind(">")
+    while (m := OPEN.search(page, look)) is not None:
+        name = "!"
+        if m.group() == "<!--":
+            end = page.find("-->", m.end())
+            end = len(page) if end < 0 else end + 3
+        elif m.group(1):
+            close = CLOSE[m.group(1).lower()].search(page, m.end())
+            end = close.end() if close else len(page)
+        else:
+            if m.end() > last:
+                look = m.end()
+                continue
+            end = page.find(">", m.end()) + 1
+            if m.group(3):
+                name = m.group(2) + m.group(3).lower()
         if m.start() > at:
             words = len(page[at : m.start()].split())
             if words:
                 out.append((at, m.start(), None, words))
-        name = m.group(2) + m.group(3).lower() if m.group(3) else "!"
-        out.append((m.start(), m.end(), name, 0))
-        at = m.end()
+        out.append((m.start(), end, name, 0))
+        at = look = end
     words = len(page[at:].split())
     if words:
         out.append((at, len(page), None, words))
@@ -108,7 +129,7 @@ def fit(pages: list[str]) -> dict[str, float]:
 
 def train(pages: DataFrame, most: int = 300) -> dict[str, float]:
     """Weights from at most ``most`` labelled pages."""
-    known = pages.where(F.col("page_id").isNotNull() & F.col("html").contains("<article"))
+    known = plain(pages, "page_id", "html").where(F.col("page_id").isNotNull() & F.col("html").contains("<article"))
     ids = [r[0] for r in known.select("page_id", F.xxhash64("page_id").alias("__h")).orderBy("__h", "page_id").limit(most).collect()]
     rows = known.where(F.col("page_id").isin(ids)).select("page_id", "html").collect() if ids else []
     return fit([r[1] for r in sorted({(r[0], r[1]) for r in rows})])
@@ -144,4 +165,5 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFr
     def make():
         return lambda ids, texts: ((i, *extract_page(t, weights)) for i, t in zip(ids, texts, strict=True))
 
-    return map_rows(pages.withColumn("page_id", F.col("page_id").cast("bigint")), ["page_id", "html"], make, SCHEMA)
+    named = plain(pages, "page_id", "html").select(F.col("page_id").cast("bigint").alias("page_id"), "html")
+    return map_rows(named, ["page_id", "html"], make, SCHEMA)
