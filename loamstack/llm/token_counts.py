@@ -1,10 +1,12 @@
 """Operator 1: edit-aware token counts.
 
 Each document has a segment tree over its pre-token runs; inner nodes hold sums of characters and tokens. An edit
-re-encodes only the runs that it touches and one run of context at either side, then updates the sums above them.
+re-encodes only the runs that it touches and one run of context at either side, then updates the sums above them. Trees
+are kept as a table (``trees``: text and the tokens of each run, from which sums are made without encoding), so that
+later edits (``edit_trees``) encode nothing but what they touch.
 
-Null and empty texts have 0 tokens. Null edits are no edits. Repeated rows are counted one by one; columns besides
-doc_id and text are ignored, whatever their names. An empty table gives no rows.
+Null and empty texts have 0 tokens. Null edits are no edits. Repeated rows are counted one by one, rows with a null
+doc_id too; columns besides doc_id and text are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, plain
 from .tokens import VOCABULARY, RunEncoder, runs
 
 #: Redactions applied to a text before it is tokenized: e-mail addresses, IPv4 addresses, card numbers, 40-digit hex keys.
@@ -31,12 +33,13 @@ REDACTIONS = re.compile(
 class CountTree:
     """The runs of one text under a segment tree of (characters, tokens) sums."""
 
-    def __init__(self, text: str, encoder: RunEncoder):
+    def __init__(self, text: str, encoder: RunEncoder, counts: list[int] | None = None):
+        """counts: the tokens of each run, as ``leaves`` gives them; else the runs are encoded."""
         self.encoder = encoder
         self.encoded = 0
-        self._build(runs(text))
+        self._build(runs(text), counts)
 
-    def _build(self, parts: list[str]) -> None:
+    def _build(self, parts: list[str], counts: list[int] | None = None) -> None:
         self.slots = [[p] for p in parts if p] or [[]]
         size = 1
         while size < len(self.slots):
@@ -45,7 +48,10 @@ class CountTree:
         self.chars = [0] * (2 * size)
         self.tokens = [0] * (2 * size)
         for i, slot in enumerate(self.slots):
-            self._measure(i, slot)
+            if counts:
+                self.chars[size + i], self.tokens[size + i] = sum(map(len, slot)), counts[i]
+            else:
+                self._measure(i, slot)
         for node in range(size - 1, 0, -1):
             self.chars[node] = self.chars[2 * node] + self.chars[2 * node + 1]
             self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
@@ -66,6 +72,11 @@ class CountTree:
     def text(self) -> str:
         return "".join(p for slot in self.slots for p in slot)
 
+    @property
+    def leaves(self) -> list[int]:
+        """The tokens of each run of the text."""
+        return [self.encoder.count_run(p) if len(slot) > 1 else self.tokens[self.size + i] for i, slot in enumerate(self.slots) for p in slot]
+
     def _find(self, at: int) -> tuple[int, int]:
         """The slot that holds a character, and where it starts."""
         node, start = 1, 0
@@ -154,17 +165,62 @@ def count_with_redactions(docs: DataFrame, vocabulary: str = VOCABULARY) -> Data
         encoder = RunEncoder(vocabulary)
         return lambda ids, texts: (_row(encoder, i, t, redactions(t) if t else None) for i, t in zip(ids, texts, strict=True))
 
-    return map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), ["doc_id", "text"], make, SCHEMA)
+    named = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return map_rows(named, ["doc_id", "text"], make, SCHEMA)
 
 
-def count_with_edits(docs: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The same with a table of edits (doc_id, start_pos, end_pos, replacement). Edits of unknown documents, or with a null offset, are ignored."""
+TREES = "doc_id bigint, text string, run_tokens array<int>, n_tokens bigint, n_chars_encoded bigint"
+
+
+def trees(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The tree of each document as a row: its text, the tokens of each run, and their sum."""
+
+    def make():
+        encoder = RunEncoder(vocabulary)
+
+        def work(ids, texts):
+            for i, text in zip(ids, texts, strict=True):
+                counts = [encoder.count_run(r) for r in runs(text or "") if r]
+                yield i, text, counts, sum(counts), len(text or "")
+
+        return work
+
+    named = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return map_rows(named, ["doc_id", "text"], make, TREES)
+
+
+def edit_trees(kept: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The trees after a table of edits as for count_with_edits; only what an edit touches is encoded."""
+
+    def make():
+        encoder = RunEncoder(vocabulary)
+
+        def work(ids, texts, counts, lists):
+            for i, text, own, changes in zip(ids, texts, counts, lists, strict=True):
+                if not changes:
+                    yield i, text, own, sum(own), 0
+                    continue
+                tree = CountTree(text or "", encoder, own)
+                apply_edits(tree, [(e["start_pos"], e["end_pos"], e["replacement"]) for e in changes])
+                yield i, tree.text, tree.leaves, tree.n_tokens, tree.encoded
+
+        return work
+
+    return map_rows(_with_edits(kept.select("doc_id", "text", "run_tokens"), edits), ["doc_id", "text", "run_tokens", "__edits"], make, TREES)
+
+
+def _with_edits(docs: DataFrame, edits: DataFrame) -> DataFrame:
     by_doc = (
         edits.where("doc_id is not null and start_pos is not null and end_pos is not null")
         .groupBy(F.col("doc_id").cast("bigint").alias("__doc"))
         .agg(F.collect_list(F.struct("start_pos", "end_pos", F.coalesce("replacement", F.lit("")).alias("replacement"))).alias("__edits"))
     )
-    both = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(by_doc, F.col("doc_id") == F.col("__doc"), "left")
+    return docs.join(by_doc, F.col("doc_id") == F.col("__doc"), "left")
+
+
+def count_with_edits(docs: DataFrame, edits: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """The same with a table of edits (doc_id, start_pos, end_pos, replacement). Edits of unknown documents, or with a null offset, are ignored."""
+    both = _with_edits(plain(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), edits)
 
     def make():
         encoder = RunEncoder(vocabulary)
