@@ -7,9 +7,10 @@ constant), so that checksums of data that hold checksums stay good. Beside each
 16 bytes a record (offset, whole length), for reads in any order.
 
 Null and empty texts give records without tokens, so that every row of the table has one record. Repeated rows give
-repeated records. Columns besides doc_id and text are ignored. An empty table gives no files and an empty manifest.
-Each task writes files under names of its own and moves them into place when they are whole; only files of the attempt
-that Spark accepts are in the manifest, and thus a lost executor costs no more than its tasks.
+repeated records. Columns besides doc_id and text are ignored, whatever their names. An empty table gives no files and an
+empty manifest. Each task writes files under names of its own and moves them into place when they are whole; only files of the attempt
+that Spark accepts are in the manifest, and thus a lost executor costs no more than its tasks; ``sweep`` deletes the
+files that such attempts left.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, pieces, to_arrow
+from .common import fresh_path, pieces, plain, to_arrow
 from .tokens import VOCABULARY, RunEncoder
 
 MANIFEST = "doc_id bigint, file string, ordinal bigint, record_offset bigint, record_length bigint, n_tokens bigint, checksum bigint"
@@ -107,7 +108,7 @@ def write_records(docs: DataFrame, path: str | None = None, vocabulary: str = VO
         if out is not None:
             yield close()
 
-    manifest = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, T.StructType.fromDDL(MANIFEST))
+    manifest = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, T.StructType.fromDDL(MANIFEST))
     manifest.write.parquet(f"{path}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{path}/manifest").withColumn("file", F.concat(F.lit(path + "/"), "file"))
 
@@ -140,5 +141,12 @@ def read_index(path: str) -> list[tuple[int, int]]:
     return list(struct.iter_unpack("<QQ", raw))
 
 
-def token_records(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    return write_records(docs)
+
+def sweep(manifest: DataFrame, path: str) -> int:
+    """Deletes the files under ``path`` that the manifest doesn't list, and returns how many; to be called when no write runs."""
+    system, folder = pafs.FileSystem.from_uri(path)
+    listed = {r[0].rpartition("/")[2].removesuffix(".rec") for r in manifest.select("file").distinct().toLocalIterator()}
+    gone = [f.path for f in system.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if f.extension in ("rec", "idx") and f.base_name.rpartition(".")[0] not in listed]
+    for name in gone:
+        system.delete_file(name)
+    return len(gone)

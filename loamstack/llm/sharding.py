@@ -10,7 +10,7 @@ their texts, only their keys are.
 
 Sizes are bytes of UTF-8, one at least, so that empty documents spread too. Null texts are groups of their own by
 doc_id (those with a null doc_id form one group). Ties in size go by the group's key, ties in load to the lowest shard. Repeated rows are
-copies like others. Columns besides doc_id and text are ignored. An empty table gives no rows.
+copies like others. Columns besides doc_id and text are ignored, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, plain
 
 SHARDS = 64
 
@@ -59,6 +59,7 @@ def turns(heap: list[tuple[int, int]], size: int, count: int) -> list[tuple[int,
 
 
 def keyed(docs: DataFrame) -> DataFrame:
+    docs = plain(docs, "doc_id", "text")
     key = F.coalesce(F.md5(F.col("text")), F.concat(F.lit("null-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),

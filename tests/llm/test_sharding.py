@@ -50,3 +50,10 @@ def test_every_group_is_scheduled_by_its_size(spark, shards):
     assert len(rows) == len(texts)
     assert {r["group_key"]: r["shard"] for r in rows} == brute(sizes, shards)
     assert sharding.assign(docs.limit(0), shards).count() == 0
+
+
+def test_clashing_names(spark):
+    kind = "`a.b` int, doc_id bigint, text string, Text int, size int, group_key int"
+    rows = sharding.assign(spark.createDataFrame([(1, 2, "x", 3, 4, 5), (1, 3, "x", 3, 4, 5), (1, 4, "y" * 3_000_000, 3, 4, 5)], kind), 2).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["shard"]) for r in rows) == [(2, 1, 1), (3, 1, 1), (4, 3_000_000, 0)]
+    assert sharding.assign(spark.createDataFrame([], kind)).count() == 0
