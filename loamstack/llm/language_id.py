@@ -3,13 +3,15 @@
 A text's features are its hashed byte trigrams (lower case), as shares of the text. One-versus-rest linear machines
 give the language family; within it, one-versus-one linear support vector machines vote for the language. All of them
 are trained here by gradient descent on the squared hinge, on a bounded sample of the rows whose ``lang`` is known:
-``per_language`` documents of each language, those with the lowest hash of doc_id. The bound is the only limit; each
-text is scored whole.
+``per_language`` documents of each language, those with the lowest hash of doc_id (less those of them that have under
+two characters). The bound is the only limit; each text is scored whole. Training reads ids and languages once, and
+then the texts of the sample.
 
 A text is rejected (language null) with a reason: ``no_text`` for null, empty or nearly letterless texts (under two
 letters); ``no_model`` if there was nothing to learn from; ``ambiguous`` if the winning machine's margin is below
-``min_margin``. Ties go to the language first in the alphabet. Repeated rows are judged one by one and alike. Columns
-besides doc_id, text and lang are ignored by ``identify`` and passed through by ``keep_identified``.
+``min_margin``. Ties go to the language first in the alphabet. Repeated rows are judged one by one and alike, rows with
+a null doc_id too. An empty table gives no rows. Columns besides doc_id, text and lang are ignored by ``identify`` and
+passed through by ``keep_identified``, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,10 +19,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_rows, map_rows
+from .common import keep_rows, map_rows, plain
 
 FAMILIES = {"germanic": ("de", "en"), "romance": ("es", "fr")}
 BITS = 13
@@ -84,9 +86,7 @@ class Model:
         start = 0
         for i, end in enumerate(ends):
             slots = trigram_slots(data[start:end], self.bits)
-            counts = np.bincount(slots, minlength=1 << self.bits) if len(slots) > 1 << self.bits else None
-            total = counts @ self.weights if counts is not None else self.weights[slots].sum(axis=0)
-            out[i] = total / max(1, len(slots)) + self.bias
+            out[i] = np.bincount(slots, minlength=1 << self.bits).astype(np.float32) @ self.weights / max(1, len(slots)) + self.bias
             start = end
         return out
 
@@ -141,14 +141,12 @@ def fit(texts: list[str], langs: list[str], families: dict[str, tuple[str, ...]]
 def train(docs: DataFrame, families: dict[str, tuple[str, ...]] = FAMILIES, per_language: int = 400, bits: int = BITS) -> Model | None:
     """Fits on ``per_language`` labelled documents of each language."""
     wanted = [name for names in families.values() for name in names]
-    labelled = docs.where(F.col("lang").isin(wanted) & F.col("doc_id").isNotNull() & (F.length("text") > 1))
-    ids = []
-    for name in wanted:
-        picked = labelled.where(F.col("lang") == name).select("doc_id", F.xxhash64("doc_id").alias("__h"))
-        ids += [r[0] for r in picked.orderBy("__h", "doc_id").limit(per_language).select("doc_id").collect()]
-    if not ids:
-        return None
-    rows = labelled.where(F.col("doc_id").isin(ids)).select("doc_id", "text", "lang").collect()
+    docs = plain(docs, "doc_id", "text", "lang")
+    labelled = docs.where(F.col("lang").isin(wanted) & F.col("doc_id").isNotNull())
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    first = labelled.select("lang", "doc_id").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    ids = [r[0] for r in first.select("doc_id").distinct().collect()]
+    rows = labelled.where(F.col("doc_id").isin(ids) & (F.length("text") > 1)).select("doc_id", "text", "lang").collect() if ids else []
     rows = sorted({(r[0], r[1], r[2]) for r in rows})
     return fit([r[1] for r in rows], [r[2] for r in rows], families, bits)
 
@@ -188,7 +186,8 @@ def identify(docs: DataFrame, model: Model | None = None, min_margin: float = MI
 
         return work
 
-    return map_rows(docs.withColumn("doc_id", F.col("doc_id").cast("bigint")), ["doc_id", "text"], make, SCHEMA)
+    named = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return map_rows(named, ["doc_id", "text"], make, SCHEMA)
 
 
 def keep_identified(docs: DataFrame, model: Model | None = None, min_margin: float = MIN_MARGIN) -> DataFrame:
