@@ -12,27 +12,37 @@ def query_words(query: str) -> list[str]:
     return sorted(set(query.lower().split()))
 
 
-def jaccard_with_phrase(query: str, text: str | Column) -> Column:
+def query_set(query: str | Column) -> Column:
+    """A question's distinct lower-case words."""
+    return F.array(*map(F.lit, query_words(query))) if isinstance(query, str) else F.array_distinct(words(F.lower(query)))
+
+
+def jaccard_with_phrase(query: str | Column, text: str | Column) -> Column:
     """Jaccard similarity of the word sets, plus 0.3 if the text holds the whole query."""
-    q = F.array(*map(F.lit, query_words(query)))
-    t = F.array_distinct(words(F.lower(col(text))))
+    q, t = query_set(query), F.array_distinct(words(F.lower(col(text))))
     both = F.size(F.array_intersect(q, t))
     share = F.try_divide(both, F.size(q) + F.size(t) - both)
-    return F.coalesce(share, F.lit(0.0)) + F.when(F.lower(col(text)).contains(query.lower()), 0.3).otherwise(0.0)
+    phrase = F.lit(query.lower()) if isinstance(query, str) else F.lower(query)
+    return F.coalesce(share, F.lit(0.0)) + F.when(F.lower(col(text)).contains(phrase), 0.3).otherwise(0.0)
+
+
+def word_cosine(query: str | Column, text: str | Column) -> Column:
+    """Cosine similarity of the two word sets: the default pair scorer, without leaving the JVM."""
+    q, t = query_set(query), F.array_distinct(words(F.lower(col(text))))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(q, t)), F.sqrt(F.size(q) * F.size(t))), F.lit(0.0))
 
 
 def occurrences(text: Column, part: str) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
 
 
-def listwise(query: str, text: str | Column, place: Column) -> Column:
+def listwise(query: str | Column, text: str | Column, place: Column) -> Column:
     """0.4 term overlap, 0.3 density, 0.2 for the place, 0.1 for a length of up to 100 words."""
-    lower, qs = F.lower(col(text)), query_words(query)
+    lower, qs = F.lower(col(text)), query_set(query)
     w = words(lower)
-    overlap = F.size(F.array_intersect(F.array(*map(F.lit, qs)), w)) / len(qs)
-    count = F.lit(0.0)
-    for q in qs:
-        count = count + occurrences(lower, q)
+    overlap = F.coalesce(F.try_divide(F.size(F.array_intersect(qs, w)), F.size(qs)), F.lit(0.0))
+    each = F.transform(qs, lambda q: (F.length(lower) - F.length(F.replace(lower, q, F.lit("")))) / F.length(q))
+    count = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
     density = F.coalesce(F.try_divide(count, F.size(w)), F.lit(0.0))
     return overlap * 0.4 + density * 0.3 + (1 / place) * 0.2 + F.least(F.lit(1.0), F.size(w) / 100) * 0.1
 
@@ -50,6 +60,14 @@ def weighted_tf(query_terms: list[str], text: str | Column) -> Column:
     return total
 
 
+def rank_reason(query: str | Column, text: str | Column, rank: Column, score: Column) -> Column:
+    """Why a passage has its rank, in words; of the shared terms the first three in the alphabet are named."""
+    shared = F.slice(F.array_sort(F.array_intersect(query_set(query), words(F.lower(col(text))))), 1, 3)
+    terms_of = F.when(F.size(shared) > 0, F.array_join(shared, ", ")).otherwise("none")
+    how = F.when(rank == 1, "Best match").when(rank <= 3, "Strong match").otherwise("Weaker match")
+    return F.format_string("%s (score %.2f); shared terms: %s", how, score, terms_of)
+
+
 def rank_score(rank: Column) -> Column:
     return F.greatest(F.lit(0.0), 1 - (rank - 1) * 0.1)
 

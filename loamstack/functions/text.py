@@ -57,8 +57,8 @@ def tokens_by_chars(text: str | Column, least: int = 0) -> Column:
 
 
 def terms(text: str | Column) -> Column:
-    """Lower-case runs of word characters."""
-    return F.regexp_extract_all(F.lower(col(text)), F.lit(r"(\w+)"), 1)
+    """Lower-case runs of word characters: letters and digits of any script, and underscores."""
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
 def count_of(array: Column, value: str) -> Column:

@@ -17,7 +17,8 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column, eps: float = 1e-12) -> Column:
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(eps)))
+    """a at length 1; its norm is computed once, as the one element that the outer lambda sees."""
+    return F.transform(F.array(F.greatest(norm(a), F.lit(eps))), lambda n: F.transform(a, lambda x: x / n))[0]
 
 
 def truncated(a: Column, width: int = 128) -> Column:
@@ -29,8 +30,22 @@ def literal(values: Sequence[float]) -> Column:
 
 
 def dense(weights: Column, width: int) -> Column:
-    """A sparse map from index to weight as an array."""
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.element_at(weights, i), F.lit(0.0)))
+    """A sparse map from index (below width) to weight as an array: its entries in order, each after the zeros before it."""
+    entries = F.array_sort(F.map_entries(weights))
+
+    def part(e: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.get(entries, i - 1)["key"] + 1).otherwise(0)
+        return F.concat(F.array_repeat(F.lit(0.0), e["key"] - before), F.array(e["value"]))
+
+    filled = F.flatten(F.transform(entries, part))
+    return F.concat(filled, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(filled)))
+
+
+def softmax(a: Column) -> Column:
+    """Exponentials of a's elements as shares of their sum, relative to the greatest."""
+    raised = F.transform(F.array(F.array_max(a)), lambda top: F.transform(a, lambda x: F.exp(x - top)))[0]
+    total = F.aggregate(raised, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(F.array(total), lambda t: F.transform(raised, lambda x: x / t))[0]
 
 
 def sigmoid(x: Column) -> Column:

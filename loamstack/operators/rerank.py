@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
 
 
-def lexical(chunks: DataFrame, query: str, ids: list[str], k: int, prior: str | None = None, threshold: float | None = None) -> DataFrame:
+def lexical(chunks: DataFrame, query: str | Column, ids: list[str], k: int, prior: str | None = None, threshold: float | None = None) -> DataFrame:
     """The k best by Jaccard and phrase; with a prior score, 0.7 of that and 0.3 of the lexical one."""
     score = S.jaccard_with_phrase(query, "text")
     if prior:
@@ -20,21 +22,60 @@ def lexical(chunks: DataFrame, query: str, ids: list[str], k: int, prior: str |
     return scored.orderBy(F.desc("lexical_score"), *ids).limit(k)
 
 
-def stage(candidates: DataFrame, score, name: str, k: int, force: bool = False) -> DataFrame:
-    """One stage over a short list (query's candidates with ``place``): its k best, renumbered; a list of at most k rows passes unscored unless forced."""
-    if not force and candidates.limit(k + 1).count() <= k:
-        return candidates.withColumn(name, F.lit(None).cast("double"))
-    scored = candidates.withColumn(name, score).orderBy(F.desc(name), "place").limit(k)
-    # At most k rows of one query: a window without partitions is bounded here.
-    return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc(name), "place")))
+STAGES = (100, 20, 5)
+
+
+def placed(scored: DataFrame, score: str, ids: list[str], k: int) -> DataFrame:
+    """Each query's k best rows with their ``place``. Tasks drop all beyond k of a query before the shuffle."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(score), *ids)
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+
+
+def stage(candidates: DataFrame, score: Column, name: str, k: int, force: bool = False) -> DataFrame:
+    """One stage over short lists (each query's candidates with ``place``): their k best, renumbered, ties in the order before.
+
+    A list of at most k rows passes unscored and in its order unless forced; where a score fails (null), 0.8 of the one
+    before, ``prior``, counts if there is such a column.
+    """
+    lists = Window.partitionBy("query_id")
+    if "prior" in candidates.columns:
+        score = F.coalesce(score, 0.8 * F.col("prior"))
+    counted = candidates.withColumn("__n", F.count(F.lit(1)).over(lists))
+    scored = counted.withColumn(name, score if force else F.when(F.col("__n") > k, score))
+    order = lists.orderBy(F.desc_nulls_last(name), "place")
+    return scored.withColumn("__place", F.row_number().over(order)).where(F.col("__place") <= k).drop("place", "__n").withColumnRenamed("__place", "place")
 
 
-def cascade(chunks: DataFrame, query: str, ids: list[str], first: int = 20, last: int = 5) -> DataFrame:
-    """Lexical top list, then the listwise rules; each stage's score is kept."""
-    top = lexical(chunks, query, ids, first)
-    placed = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("lexical_score"), *ids)))
-    ranked = stage(placed, S.listwise(query, "text", F.col("place")), "listwise_score", last)
-    return ranked.withColumn("final_score", S.rank_score(F.col("place")))
+def rerank(candidates: DataFrame, sizes: tuple[int, int, int] = STAGES, pair: Callable[[Column, Column], Column] = S.word_cosine) -> DataFrame:
+    """The later stages over first lists (query_id, query, text, place, lexical_score): pair scorer, then listwise rules; each stage's score is kept."""
+    query, text = F.col("query"), F.col("text")
+    second = stage(candidates.withColumn("prior", F.col("lexical_score")), pair(query, text), "pair_score", sizes[1]).drop("prior")
+    third = stage(second, S.listwise(query, text, F.col("place")), "listwise_score", sizes[2])
+    return third.withColumn("final_score", S.rank_score(F.col("place")))
+
+
+def cascade(chunks: DataFrame, query: str, ids: list[str], sizes: tuple[int, int, int] = STAGES, pair: Callable[[Column, Column], Column] = S.word_cosine) -> DataFrame:
+    """One question over all chunks: lexical top list, pair scorer, listwise rules."""
+    top = lexical(chunks, query, ids, sizes[0]).withColumns({"query_id": F.lit(0), "query": F.lit(query)})
+    return rerank(placed(top, "lexical_score", ids, sizes[0]), sizes, pair).drop("query")
+
+
+def stage_records(candidates: DataFrame, ranked: DataFrame, pool: int, sizes: tuple[int, int, int] = STAGES) -> DataFrame:
+    """What each stage of a cascade took in and gave out: (query_id, stage, n_in, n_out, reduction, low, high, mean).
+
+    candidates: the first lists; ranked: rows of rerank before its cuts aren't kept, so counts follow from the lists' sizes.
+    """
+    n = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    steps = [("lexical", F.lit(pool), F.col("n"), "lexical_score", candidates)]
+    steps += [(name, F.least("n", F.lit(a)), F.least("n", F.lit(b)), score, ranked) for name, a, b, score in (("pair", sizes[0], sizes[1], "pair_score"), ("listwise", sizes[1], sizes[2], "listwise_score"))]
+    out = None
+    for name, n_in, n_out, score, rows in steps:
+        spread = rows.groupBy("query_id").agg(F.min(score).alias("low"), F.max(score).alias("high"), F.avg(score).alias("mean"))
+        part = n.join(spread, "query_id", "left").select(
+            "query_id", F.lit(name).alias("stage"), n_in.cast("bigint").alias("n_in"), n_out.cast("bigint").alias("n_out"), F.coalesce(F.try_divide(n_in, n_out), F.lit(0.0)).alias("reduction"), "low", "high", "mean"
+        )
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def sparse_dot(query_terms: DataFrame, doc_terms: DataFrame) -> DataFrame:

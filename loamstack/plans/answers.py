@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,11 +12,10 @@ from ..functions import scores as S
 from ..functions import text as T
 from ..operators import context, rerank, search, validation
 from .corpus import CHUNKS, good_chunks, words_sql
+from .lexical import BM25, QLIST, QUESTION, TERMS, WORDS
 from .registry import query, table
 
-QUESTION = "what is the water of the market and the city"
-_Q = S.query_words(QUESTION)
-QLIST = "[" + ", ".join(f"'{w}'" for w in _Q) + "]"
+_Q = WORDS
 
 
 def jaccard_sql(text: str) -> str:
@@ -22,10 +23,12 @@ def jaccard_sql(text: str) -> str:
     return f"(len(list_intersect({QLIST}, {w})) / ({len(_Q)} + len({w}) - len(list_intersect({QLIST}, {w}))) + CASE WHEN contains(lower({text}), '{QUESTION}') THEN 0.3e0 ELSE 0e0 END)"
 
 
-LEXICAL = f"lex AS (SELECT *, {jaccard_sql('text')} AS lexical_score FROM children), top AS (SELECT *, row_number() OVER (ORDER BY lexical_score DESC, chunk_id) AS place FROM lex QUALIFY place <= 20)"
+LEXICAL = f"lex AS (SELECT *, {jaccard_sql('text')} AS lexical_score FROM children), top AS (SELECT *, row_number() OVER (ORDER BY lexical_score DESC, chunk_id) AS place FROM lex QUALIFY place <= 100)"
 _DENSITY = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{w}', ''))) / {len(w)}" for w in _Q)
-LISTWISE = f"""lw AS (SELECT *, len(list_intersect({QLIST}, lw0)) / {len(_Q)} * 0.4e0 + (({_DENSITY}) / len(lw0)) * 0.3e0 + (1 / place) * 0.2e0 + least(1e0, len(lw0) / 100) * 0.1e0 AS listwise_score
- FROM (SELECT *, {words_sql('lower(text)')} AS lw0 FROM top)),
+PAIR = f"""pr AS (SELECT *, CASE WHEN (SELECT count(*) FROM top) > 20 THEN len(list_intersect({QLIST}, dw)) / sqrt({len(_Q)} * len(dw)) END AS pair_score FROM (SELECT *, list_distinct({words_sql('lower(text)')}) AS dw FROM top)),
+twenty AS (SELECT * EXCLUDE (place, np), np AS place FROM (SELECT *, row_number() OVER (ORDER BY pair_score DESC NULLS LAST, place) AS np FROM pr) WHERE np <= 20)"""
+LISTWISE = PAIR + f""", lw AS (SELECT *, len(list_intersect({QLIST}, lw0)) / {len(_Q)} * 0.4e0 + (({_DENSITY}) / len(lw0)) * 0.3e0 + (1 / place) * 0.2e0 + least(1e0, len(lw0) / 100) * 0.1e0 AS listwise_score
+ FROM (SELECT *, {words_sql('lower(text)')} AS lw0 FROM twenty)),
 six AS (SELECT *, row_number() OVER (ORDER BY listwise_score DESC, place) AS np FROM lw), five AS (SELECT * EXCLUDE (place, np), np AS place FROM six WHERE np <= 5),
 hits AS (SELECT *, greatest(0e0, 1 - (place - 1) * 0.1e0) AS final_score FROM five)"""
 CONTEXT = """ctx0 AS (SELECT parent_id, max(final_score) AS relevance, max(position) AS last_position, count(*) AS n_children FROM hits GROUP BY parent_id),
@@ -36,9 +39,9 @@ grp AS (SELECT *, sum(nw) OVER (ORDER BY pl ROWS UNBOUNDED PRECEDING) AS g FROM
 mrg AS (SELECT CASE WHEN count(*) > 1 THEN 'merged_' ELSE '' END || min_by(parent_id, pl) AS parent_id, min_by(doc_id, pl) AS doc_id, min(pl) AS place, max(relevance) AS relevance, CAST(sum(tokens) AS BIGINT) AS tokens,
  string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY pl) AS text FROM grp GROUP BY g),
 cum AS (SELECT *, sum(tokens) OVER (ORDER BY place ROWS UNBOUNDED PRECEDING) AS cum FROM mrg),
-kept AS (SELECT *, 3000 - (cum - tokens) AS room FROM cum WHERE cum <= 3000 OR 3000 - (cum - tokens) >= 50),
-fit AS (SELECT parent_id, doc_id, place, relevance, CASE WHEN cum > 3000 AND len(w) > room * 4 THEN room ELSE tokens END AS tokens,
- CASE WHEN cum > 3000 AND len(w) > room * 4 THEN array_to_string(w[1 : room * 4 - 10], ' ') || chr(10) || chr(10) || '[... content truncated ...]' ELSE text END AS text
+kept AS (SELECT *, 8000 - (cum - tokens) AS room FROM cum WHERE cum <= 8000 OR 8000 - (cum - tokens) >= 50),
+fit AS (SELECT parent_id, doc_id, place, relevance, CASE WHEN cum > 8000 AND len(w) > room * 4 THEN room ELSE tokens END AS tokens,
+ CASE WHEN cum > 8000 AND len(w) > room * 4 THEN array_to_string(w[1 : room * 4 - 10], ' ') || chr(10) || chr(10) || '[... content truncated ...]' ELSE text END AS text
  FROM (SELECT *, """ + words_sql("text") + """ AS w FROM kept))"""
 
 
@@ -47,21 +50,21 @@ def hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return p, rerank.cascade(c, QUESTION, ["chunk_id"])
 
 
-def fitted(spark: SparkSession, sf_dir: str, budget: int = 3000) -> DataFrame:
+def fitted(spark: SparkSession, sf_dir: str, budget: int = context.BUDGET) -> DataFrame:
     """Question to packed contexts: chunks, lexical list, listwise rules, parents, merging, budget."""
     p, h = hits(spark, sf_dir)
     grouped = context.group_parents(h.withColumnRenamed("final_score", "score"), p).withColumn("query_id", F.lit(0))
     return context.fit_budget(context.merge_neighbours(grouped), budget=budget)
 
 
-@query(f"WITH {CHUNKS}, {LEXICAL} SELECT chunk_id, round(lexical_score, 6) AS score FROM top")
+@query(f"WITH {CHUNKS}, {LEXICAL} SELECT chunk_id, round(lexical_score, 6) AS score FROM top WHERE place <= 20")
 def sparse_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.lexical(good_chunks(spark, sf_dir)[1], QUESTION, ["chunk_id"], 20).select("chunk_id", F.round("lexical_score", 6).alias("score"))
 
 
-@query(f"WITH {CHUNKS}, {LEXICAL}, {LISTWISE} SELECT chunk_id, place, round(lexical_score, 6) AS lexical_score, round(listwise_score, 6) AS listwise_score, round(final_score, 6) AS final_score FROM hits")
+@query(f"WITH {CHUNKS}, {LEXICAL}, {LISTWISE} SELECT chunk_id, place, round(lexical_score, 6) AS lexical_score, round(pair_score, 6) AS pair_score, round(listwise_score, 6) AS listwise_score, round(final_score, 6) AS final_score FROM hits")
 def cascade_e2e(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hits(spark, sf_dir)[1].select("chunk_id", "place", *(F.round(c, 6).alias(c) for c in ("lexical_score", "listwise_score", "final_score")))
+    return hits(spark, sf_dir)[1].select("chunk_id", "place", *(F.round(c, 6).alias(c) for c in ("lexical_score", "pair_score", "listwise_score", "final_score")))
 
 
 @query(f"WITH {CHUNKS}, {LEXICAL}, {LISTWISE}, {CONTEXT} SELECT parent_id, doc_id, place, round(relevance, 6) AS relevance, tokens, md5(text) AS text_md5 FROM fit")
@@ -89,7 +92,7 @@ def ctx_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select(F.col("place").alias("source_id"), "doc_id", F.concat(F.lit("Section "), F.col("place").cast("string")).alias("section_title"), F.concat(F.substring("text", 1, 200), F.lit("...")).alias("excerpt"))
 
 
-_TERMS = "regexp_extract_all(lower(text), '\\w+')"
+_TERMS = TERMS
 _TF = " + ".join(f"{S.TERM_WEIGHTS.get(w, 1.0)}e0 * ln(1e0 + len(list_filter(t, lambda x: x = '{w}')))" for w in _Q)
 
 
@@ -98,17 +101,12 @@ def sparse_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", S.weighted_tf(_Q, "text").alias("s")).where("s > 0").select("doc_id", F.round("s", 6).alias("score"))
 
 
-_BM = " + ".join(f"ln(1 + (n - d{i} + 0.5e0) / (d{i} + 0.5e0)) * f{i} * 2.2e0 / (f{i} + 1.2e0 * (0.25e0 + 0.75e0 * len / mean))" for i in range(len(_Q)))
-
-
-@query(f"""WITH t AS (SELECT doc_id, {_TERMS} AS t FROM documents), f AS (SELECT doc_id, len(t) AS len, {", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(_Q))} FROM t),
-s AS (SELECT count(*) AS n, avg(len) AS mean, {", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(len(_Q)))} FROM f)
-SELECT doc_id, round({_BM}, 6) AS score FROM f, s ORDER BY {_BM} DESC, doc_id LIMIT 100""")
+@query(f"WITH {BM25} SELECT doc_id, round(bm, 6) AS score FROM bm25 WHERE bm > 0 ORDER BY bm DESC, doc_id LIMIT 100")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.bm25(table(spark, sf_dir, "documents"), QUESTION).orderBy(F.desc("score"), "doc_id").limit(100).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH t AS (SELECT doc_id, len({_TERMS}) AS n, unnest({_TERMS}) AS term FROM documents), f AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM t GROUP BY 1, 2),
+@query(f"""WITH b AS MATERIALIZED (SELECT doc_id, {_TERMS} AS ts FROM documents), t AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS term FROM b), f AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM t GROUP BY 1, 2),
 w AS (SELECT doc_id, term, 1 + ln(1 + tf / n) AS weight FROM f), m AS (SELECT *, weight / max(weight) OVER (PARTITION BY doc_id) AS nw FROM w)
 SELECT doc_id, round(sum(nw), 6) AS score FROM m WHERE list_contains({QLIST}, term) GROUP BY doc_id""")
 def sparse_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +148,12 @@ def prompt_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("conv_id", "turn", P.kind(F.col("text")).alias("kind"), F.col("i.type").alias("intent"), "i.complexity", "i.is_opinion")
 
 
-_MESSAGE = "CASE kind " + " ".join(f"WHEN '{k}' THEN replace(replace('{u.replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))}', '{{context}}', ctx), '{{query}}', text)" for k, (_, u, _, _) in P.TEMPLATES.items()) + " END"
+def template_sql(template: str, question: str, passage: str) -> str:
+    parts = [p for p in re.split(r"(\{query\}|\{context\}|\n)", template) if p]
+    return " || ".join({"{query}": question, "{context}": passage, "\n": "chr(10)"}.get(p, f"'{p}'") for p in parts)
+
+
+_MESSAGE = "CASE kind " + " ".join(f"WHEN '{k}' THEN {template_sql(u, 'text', 'ctx')}" for k, (_, u, _, _) in P.TEMPLATES.items()) + " END"
 
 
 @query(f"""WITH {USERS}, k AS (SELECT u.*, {KIND_SQL} AS kind, d.text AS ctx FROM u JOIN documents d ON d.doc_id = u.conv_id) SELECT conv_id, turn, md5({_MESSAGE}) AS message_md5 FROM k""")
@@ -212,10 +215,13 @@ def regen_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "turn", "attempt", F.round("temperature", 6).alias("temperature"), F.round("top_p", 6).alias("top_p"))
 
 
-@query("SELECT row_number() OVER (ORDER BY ts, event_id) AS rank, round(greatest(0e0, 1 - (row_number() OVER (ORDER BY ts, event_id) - 1) * 0.1e0), 6) AS score FROM events QUALIFY rank <= 20")
+@query("""WITH r AS (SELECT event_id, props, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rank FROM events)
+SELECT event_id, rank, round(greatest(0e0, 1 - (rank - 1) * 0.1e0), 6) AS score, round(least(1e0, greatest(0.5e0, 1 - (rank - 1) * 0.05e0) + CASE WHEN length(repeat(props, 6)) > 50 THEN 0.1e0 ELSE 0 END), 6) AS confidence FROM r""")
 def rank_to_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = table(spark, sf_dir, "events").orderBy("ts", "event_id").limit(20)
-    return top.select(F.row_number().over(Window.orderBy("ts", "event_id")).cast("bigint").alias("rank")).select("rank", F.round(S.rank_score(F.col("rank")), 6).alias("score"))
+    """Each user's events as a ranked list, their properties as the reasons given."""
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("bigint")
+    ranked = table(spark, sf_dir, "events").select("event_id", "props", rank.alias("rank"))
+    return ranked.select("event_id", "rank", F.round(S.rank_score(F.col("rank")), 6).alias("score"), F.round(S.rank_confidence(F.col("rank"), F.repeat("props", 6)), 6).alias("confidence"))
 
 
 @query("SELECT event_id, round(1 / (1 + exp(-value / 100)), 6) AS sigmoid, round(1 - 2 * abs(1 / (1 + exp(-value / 100)) - 0.5), 6) AS confidence FROM events")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import search
+from .lexical import BM25, QUESTION
 from .registry import query, table
 
 CHUNK = 3
@@ -38,8 +39,8 @@ def maxsim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.maxsim(v, query_vectors(v)).orderBy(F.desc("score"), "chunk_id").limit(100).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {VEC}, {SIMS}, b AS (SELECT s.chunk_id, s.q_id, min(vector_id) AS at, any_value(m.m) AS m FROM s JOIN m ON s.chunk_id = m.chunk_id AND s.q_id = m.q_id AND s.d = m.m GROUP BY 1, 2)
-SELECT chunk_id, q_id, at AS best_vector, round(m, 6) AS best, round(avg(m) OVER w, 6) AS score, round(min(m) OVER w, 6) AS low, round(max(m) OVER w, 6) AS high, round(stddev_pop(m) OVER w, 6) AS spread
+@query(f"""WITH {VEC}, {SIMS}, b AS (SELECT s.chunk_id, s.q_id, min(vector_id) AS first_at, any_value(m.m) AS m FROM s JOIN m ON s.chunk_id = m.chunk_id AND s.q_id = m.q_id AND s.d = m.m GROUP BY 1, 2)
+SELECT chunk_id, q_id, first_at AS best_vector, round(m, 6) AS best, round(avg(m) OVER w, 6) AS score, round(min(m) OVER w, 6) AS low, round(max(m) OVER w, 6) AS high, round(stddev_pop(m) OVER w, 6) AS spread
  FROM b WINDOW w AS (PARTITION BY chunk_id)""")
 def maxsim_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = token_vectors(spark, sf_dir)
@@ -89,22 +90,22 @@ def snk_token_plus_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.unionByName(pooled)
 
 
-@query(f"""WITH {VEC}, {SIMS}, mm AS (SELECT chunk_id, avg(m) AS mm FROM m GROUP BY 1), t AS (SELECT doc_id AS chunk_id, length(text) / 1000 AS t FROM documents),
+@query(f"""WITH {VEC}, {SIMS}, mm AS (SELECT chunk_id, avg(m) AS mm FROM m GROUP BY 1), {BM25}, t AS (SELECT doc_id AS chunk_id, bm AS t FROM bm25 WHERE bm > 0),
 n AS (SELECT mm.chunk_id, (mm - min(mm) OVER ()) / coalesce(nullif(max(mm) OVER () - min(mm) OVER (), 0), 1) AS mm, coalesce(t, 0) AS t FROM mm LEFT JOIN t USING (chunk_id)),
 k AS (SELECT chunk_id, mm, (t - min(t) OVER ()) / coalesce(nullif(max(t) OVER () - min(t) OVER (), 0), 1) AS t FROM n)
 SELECT chunk_id, round(0.7e0 * mm + 0.3e0 * t, 6) AS score FROM k ORDER BY 0.7e0 * mm + 0.3e0 * t DESC, chunk_id LIMIT 100""")
 def hybrid_maxsim_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = token_vectors(spark, sf_dir)
-    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), (F.length("text") / 1000).alias("text_score"))
+    text = search.bm25(table(spark, sf_dir, "documents"), QUESTION).select(F.col("doc_id").alias("chunk_id"), F.col("score").alias("text_score"))
     both = search.hybrid_maxsim(search.maxsim(v, query_vectors(v)), text)
     return both.orderBy(F.desc("score"), "chunk_id").limit(100).select("chunk_id", F.round("score", 6).alias("score"))
 
 
-@query(f"""WITH {VEC}, x AS (SELECT chunk_id, max(list_dot_product(e, (SELECT qe FROM q WHERE q_id = 0))) AS a FROM v GROUP BY 1), t AS (SELECT doc_id AS chunk_id, length(text) / 1000 AS b FROM documents)
+@query(f"""WITH {VEC}, x AS (SELECT chunk_id, max(list_dot_product(e, (SELECT qe FROM q WHERE q_id = 0))) AS a FROM v GROUP BY 1), {BM25}, t AS (SELECT doc_id AS chunk_id, bm AS b FROM bm25 WHERE bm > 0)
 SELECT chunk_id, round(0.7e0 * coalesce(a, 0) + 0.3e0 * coalesce(b, 0), 6) AS score FROM x FULL JOIN t USING (chunk_id) ORDER BY 0.7e0 * coalesce(a, 0) + 0.3e0 * coalesce(b, 0) DESC, chunk_id LIMIT 50""")
 def hybrid_vector_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = token_vectors(spark, sf_dir)
     q = V.literal(query_vectors(v)[0])
     hits = v.groupBy("chunk_id").agg(F.max(V.dot(F.col("e"), q)).alias("vector_score"))
-    text = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), (F.length("text") / 1000).alias("text_score"))
+    text = search.bm25(table(spark, sf_dir, "documents"), QUESTION).select(F.col("doc_id").alias("chunk_id"), F.col("score").alias("text_score"))
     return search.hybrid(hits, text, 0.7).orderBy(F.desc("score"), "chunk_id").limit(50).select("chunk_id", F.round("score", 6).alias("score"))
