@@ -17,9 +17,14 @@ def query_set(query: str | Column) -> Column:
     return F.array(*map(F.lit, query_words(query))) if isinstance(query, str) else F.array_distinct(words(F.lower(query)))
 
 
-def jaccard_with_phrase(query: str | Column, text: str | Column) -> Column:
-    """Jaccard similarity of the word sets, plus 0.3 if the text holds the whole query."""
-    q, t = query_set(query), F.array_distinct(words(F.lower(col(text))))
+def text_set(text: str | Column) -> Column:
+    """A text's distinct lower-case words."""
+    return F.array_distinct(words(F.lower(col(text))))
+
+
+def jaccard_with_phrase(query: str | Column, text: str | Column, q: Column | None = None, t: Column | None = None) -> Column:
+    """Jaccard similarity of the word sets (q and t, if they are at hand), plus 0.3 if the text holds the whole query."""
+    q, t = query_set(query) if q is None else q, text_set(text) if t is None else t
     both = F.size(F.array_intersect(q, t))
     share = F.try_divide(both, F.size(q) + F.size(t) - both)
     phrase = F.lit(query.lower()) if isinstance(query, str) else F.lower(query)

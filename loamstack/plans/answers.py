@@ -53,7 +53,7 @@ def hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def fitted(spark: SparkSession, sf_dir: str, budget: int = context.BUDGET) -> DataFrame:
     """Question to packed contexts: chunks, lexical list, listwise rules, parents, merging, budget."""
     p, h = hits(spark, sf_dir)
-    grouped = context.group_parents(h.withColumnRenamed("final_score", "score"), p).withColumn("query_id", F.lit(0))
+    grouped = context.group_parents(h.withColumnRenamed("final_score", "score"), p)
     return context.fit_budget(context.merge_neighbours(grouped), budget=budget)
 
 
@@ -86,10 +86,11 @@ def ctx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.packed_text(fitted(spark, sf_dir)).select(F.md5("text").alias("text_md5"), "total_tokens", "n_sources", "n_documents", F.round("mean", 6).alias("mean"))
 
 
-@query(f"""WITH {CHUNKS}, {LEXICAL}, {LISTWISE} SELECT place AS source_id, doc_id, 'Section ' || place AS section_title, text[1:200] || '...' AS excerpt FROM hits""")
+@query(f"""WITH {CHUNKS}, {LEXICAL}, {LISTWISE}, {CONTEXT}, o AS (SELECT *, row_number() OVER (ORDER BY place) AS source_id, CAST(coalesce(sum(length(text) + 7) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS b FROM fit),
+packed AS (SELECT string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place) AS p FROM fit)
+SELECT source_id, doc_id, 'Section ' || source_id AS section_title, round(relevance, 6) AS relevance_score, CAST(tokens AS BIGINT) AS token_count, p[b + 1 : b + 200] || '...' AS excerpt FROM o, packed""")
 def ctx_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = hits(spark, sf_dir)[1]
-    return h.select(F.col("place").alias("source_id"), "doc_id", F.concat(F.lit("Section "), F.col("place").cast("string")).alias("section_title"), F.concat(F.substring("text", 1, 200), F.lit("...")).alias("excerpt"))
+    return context.sources(fitted(spark, sf_dir)).withColumn("relevance_score", F.round("relevance_score", 6)).drop("query_id")
 
 
 _TERMS = TERMS
