@@ -105,3 +105,36 @@ def parse_ranking(responses: DataFrame, candidates: DataFrame) -> DataFrame:
     both = candidates.join(ranked, ["query_id", "chunk_id"], "left")
     order = Window.partitionBy("query_id").orderBy(F.col("at").asc_nulls_last(), "place")
     return both.select("query_id", "chunk_id", F.row_number().over(order).alias("rank"))
+
+
+def contributions(tf: DataFrame, query_terms: list[str]) -> DataFrame:
+    """(doc_id, contributions): by query term, 1 + ln(1 + its share of the document's terms)."""
+    own = tf.where(F.col("term").isin(sorted(set(query_terms))))
+    pair = F.struct("term", (1 + F.log1p(F.col("tf") / F.col("n_terms"))).alias("w"))
+    return own.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(pair)).alias("contributions"))
+
+
+def reasons(ranked: DataFrame, response: str = "response") -> DataFrame:
+    """``reason``: what a model's JSON says of each rank (query_id, rank, response), else that it was ranked there."""
+    said = F.from_json(F.regexp_extract(response, r"(?s)\{.*\}", 0), "reasoning map<string,string>")["reasoning"]
+    return ranked.withColumn("reason", F.coalesce(F.try_element_at(said, F.col("rank").cast("string")), F.concat(F.lit("Ranked at position "), F.col("rank").cast("string"))))
+
+
+def by_rules(candidates: DataFrame, confidence: float = 0.5) -> DataFrame:
+    """The order as it is, scored by place: what every ranker falls back to."""
+    return candidates.withColumns({"rank": F.col("place"), "score": S.rank_score(F.col("place")), "confidence": F.lit(confidence)})
+
+
+def by_listwise(candidates: DataFrame) -> DataFrame:
+    """The listwise rules over each question's list (query_id, query, text, place)."""
+    scored = candidates.withColumn("rules", S.listwise(F.col("query"), "text", F.col("place")))
+    order = Window.partitionBy("query_id").orderBy(F.desc("rules"), "place")
+    return scored.withColumn("rank", F.row_number().over(order)).withColumns({"score": S.rank_score(F.col("rank")), "confidence": S.rank_confidence(F.col("rank"), F.lit(""))})
+
+
+#: Rankers by name; an unknown name takes the rules.
+RANKERS: dict[str, Callable[[DataFrame], DataFrame]] = {"rules": by_listwise, "identity": by_rules}
+
+
+def ranker(name: str) -> Callable[[DataFrame], DataFrame]:
+    return RANKERS.get(name, by_listwise)
