@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import time
 import zlib
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -83,6 +84,86 @@ def pair_score(query: Column, text: Column, make: Callable[[], PairScorer] = Ove
     return score(query, text)
 
 
+class Generator(Protocol):
+    def __call__(self, prompts: list[str]) -> list[str]: ...
+
+
+class ListwiseRanker(Protocol):
+    def __call__(self, query: str, texts: list[str]) -> list[int]:
+        """The texts' places, best first."""
+
+
+class ExtractiveGenerator:
+    """The first passage line of a prompt that shares most words with its question line."""
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        out = []
+        for p in prompts:
+            lines = [x for x in (p or "").splitlines() if x.strip()]
+            asked = set(next((x for x in reversed(lines) if ": " in x), "").lower().split())
+            out.append(max(lines[1:-2] or lines or [""], key=lambda x: len(asked & set(x.lower().split()))))
+        return out
+
+
+def generate(prompts: DataFrame, make: Callable[[], Generator] = ExtractiveGenerator, attempts: int = 3, delay: float = 1.0, batch: int = 8) -> DataFrame:
+    """``prompts`` (prompt_id, prompt) with answer, tries and error: a failing batch is tried again after a delay that grows with each try, then row by row gives an error."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        generator = make()
+        for frame in frames:
+            for start in range(0, len(frame), batch):
+                part = frame.iloc[start : start + batch]
+                for k in range(1, attempts + 1):
+                    try:
+                        answers, error = generator(part["prompt"].tolist()), None
+                        break
+                    except Exception as e:  # the model's own errors, whatever they are
+                        answers, error = [None] * len(part), f"{type(e).__name__}: {e}"
+                        if k < attempts:
+                            time.sleep(delay * k)
+                yield pd.DataFrame({"prompt_id": part["prompt_id"], "answer": answers, "tries": k, "error": error})
+
+    return prompts.select(F.col("prompt_id").cast("string").alias("prompt_id"), "prompt").mapInPandas(run, "prompt_id string, answer string, tries int, error string")
+
+
+def rank_lists(candidates: DataFrame, make: Callable[[], ListwiseRanker]) -> DataFrame:
+    """(query_id, chunk_id, rank, confidence) of short lists (query_id, query, chunk_id, text, place) by a ranker; where it fails, the order stays, with confidence 0.5."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("place")
+        try:
+            order = list(dict.fromkeys(i for i in make()(frame["query"].iloc[0], frame["text"].tolist()) if 0 <= i < len(frame)))
+            sure = 0.6
+        except Exception:  # the model's own errors, whatever they are
+            order, sure = [], 0.5
+        order += [i for i in range(len(frame)) if i not in order]
+        ranked = frame.iloc[order]
+        return pd.DataFrame({"query_id": ranked["query_id"], "chunk_id": ranked["chunk_id"], "rank": range(1, len(ranked) + 1), "confidence": sure})
+
+    return candidates.select("query_id", "query", "chunk_id", "text", "place").groupBy("query_id").applyInPandas(run, "query_id bigint, chunk_id string, rank int, confidence double")
+
+
+def term_weights(docs: DataFrame, make: Callable[[], Callable[[str], dict[str, float]]] | None = None) -> DataFrame:
+    """(doc_id, term, weight): a learned sparse encoder's weights, or by default 1 + ln(1 + share of the document's terms), relative to its greatest."""
+    if make is None:
+        t = docs.select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}_]+)"), 1).alias("t"))
+        tf = t.select("doc_id", F.size("t").alias("n"), F.explode("t").alias("term")).groupBy("doc_id", "term").agg((1 + F.log1p(F.count(F.lit(1)) / F.first("n"))).alias("w"))
+        return tf.select("doc_id", "term", (F.col("w") / F.max("w").over(Window.partitionBy("doc_id"))).alias("weight"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode_one = make()
+        for frame in frames:
+            rows = [(i, term, float(w)) for i, text in zip(frame["doc_id"], frame["text"], strict=True) for term, w in sorted(encode_one(text or "").items())]
+            yield pd.DataFrame(rows, columns=["doc_id", "term", "weight"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, term string, weight double")
+
+
+def about(*models: object) -> list[dict]:
+    """What there is to say of models: their class and plain settings."""
+    return [{"model": type(m).__name__} | {k: v for k, v in vars(m).items() if isinstance(v, (int, float, str, bool))} for m in models]
+
+
 def extractive_answer(context: Column, question: Column) -> Column:
     """The context's sentence that shares most words with the question; the first of equals."""
     sentences = F.filter(F.split(F.regexp_replace(context, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda s: F.length(s) > 0)

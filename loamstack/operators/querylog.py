@@ -26,6 +26,16 @@ def stats(log: DataFrame) -> DataFrame:
     return log.agg(F.count(F.lit(1)).alias("n"), mean("hallucination_score").alias("avg_risk"), mean("quality_score").alias("avg_quality"), mean("total_time_ms").alias("avg_time_ms"), mean("rating").alias("avg_rating"))
 
 
+def stats_or_zero(log: DataFrame) -> DataFrame:
+    """The counts and means, 0 where there is nothing to average."""
+    return stats(log).select("n", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("avg_time_ms", "avg_rating")))
+
+
+def shares(log: DataFrame, **conditions: Column) -> DataFrame:
+    """The share of the log's rows that meet each condition; 0 of an empty log."""
+    return log.agg(*(F.round(F.coalesce(F.try_divide(F.count_if(c), F.count(F.lit(1))), F.lit(0.0)), 6).alias(name) for name, c in conditions.items()))
+
+
 def rates(log: DataFrame, by: str = "llm_backend") -> DataFrame:
     share = lambda c: F.round(F.coalesce(F.try_divide(F.count_if(c), F.count(F.lit(1))), F.lit(0.0)), 6)
     return log.groupBy(by).agg(share(F.col("level").isin("low", "medium")).alias("pass_rate"), share(F.col("rating").isNotNull()).alias("rated_rate"), F.round(F.avg("total_time_ms"), 6).alias("avg_time_ms"))
@@ -47,13 +57,32 @@ def preview(text: str | Column, most: int = 200) -> Column:
 def evict_oldest(entries: DataFrame, ts: str, key: str, above: int = 1000, tenth: int = 10) -> DataFrame:
     """Without the oldest tenth, if there are more than ``above`` rows.
 
-    No global window: a sort within range partitions and a count of each give every row its rank.
+    Neither a global sort nor a window: the last row to go is found by its time and then, among equal times, by its key.
     """
     n = entries.count()
     if n <= above:
         return entries
     drop = n // tenth
-    last = entries.select(ts, key).orderBy(ts, key).offset(drop - 1).limit(1)
-    bar = F.broadcast(last.select(F.col(ts).alias("__ts"), F.col(key).alias("__key")))  # one row
-    later = (F.col(ts) > F.col("__ts")) | ((F.col(ts) == F.col("__ts")) & (F.col(key) > F.col("__key")))
-    return entries.crossJoin(bar).where(later).drop("__ts", "__key")
+    at, before = value_at(entries, ts, drop - 1)
+    last, _ = value_at(entries.where(F.col(ts) == at), key, drop - 1 - before)
+    return entries.where((F.col(ts) > at) | ((F.col(ts) == at) & (F.col(key) > last)))
+
+
+def value_at(rows: DataFrame, column: str, rank: int) -> tuple:
+    """The value at a place (from 0) of a column's order, and how many rows lie below it.
+
+    An approximate quantile at either side leaves a band of about 1/2000 of the rows, of which distinct values are counted.
+    """
+    kind = rows.schema[column].dataType.simpleString()
+    number = F.unix_micros(F.col(column).cast("timestamp")) if kind.startswith("timestamp") else F.col(column)
+    own = rows.select(number.alias("x"), F.col(column).alias("v")).where("x is not null")
+    n = own.count()
+    near = [min(1.0, max(0.0, rank / n + side * 0.00025)) for side in (-1, 1)]
+    low, high = own.agg(F.percentile_approx("x", near, 10_000).alias("q")).first()[0]
+    below = own.where(F.col("x") < low).count()
+    band = own.where(F.col("x").between(low, high)).groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("v")).orderBy("x")
+    for r in band.toLocalIterator():
+        if below + r["n"] > rank:
+            return r["v"], below
+        below += r["n"]
+    raise ValueError(f"no place {rank} among {n} rows")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -18,6 +18,14 @@ def with_questions(conversations: DataFrame) -> DataFrame:
     return conversations.withColumn("question", asked).where("role = 'assistant'").select("conv_id", "turn", "question", F.col("text").alias("answer"))
 
 
+def is_valid(level: Column, quality: Column, confidence: Column) -> Column:
+    return (level != "critical") & (quality >= 0.5) & (confidence >= 0.5)
+
+
+def is_served(valid: Column, level: Column, confidence: Column) -> Column:
+    return valid & (level != "critical") & (confidence >= 0.3)
+
+
 def validate(answers: DataFrame) -> DataFrame:
     """Adds every score and verdict to (question, answer, context); a null context means that nothing was retrieved."""
     context = F.substring("context", 1, CONTEXT[1])
@@ -37,7 +45,7 @@ def validate(answers: DataFrame) -> DataFrame:
     out = out.withColumn("quality", S.clamp(0.4 * (1 - F.col("risk")) + 0.2 * F.col("detector_confidence") + 0.2 * F.col("source_quality") + 0.2 * F.col("completeness")))
     n = F.col("n_sources")
     out = out.withColumn("confidence", S.clamp(F.col("detector_confidence") * 0.3 + F.col("quality") * 0.3 + F.least(n / 3, F.lit(1.0)) * 0.2 + F.least(n / 5, F.lit(1.0)) * 0.2))
-    out = out.withColumn("valid", (F.col("level") != "critical") & (F.col("quality") >= 0.5) & (F.col("confidence") >= 0.5))
+    out = out.withColumn("valid", is_valid(F.col("level"), F.col("quality"), F.col("confidence")))
     level, quality, conf = F.col("level"), F.col("quality"), F.col("confidence")
     warnings = [
         F.when(level == "high", "High hallucination risk detected").when(level == "critical", "Critical hallucination risk - answer should not be served"),
@@ -55,7 +63,7 @@ def validate(answers: DataFrame) -> DataFrame:
     ]
     listed = lambda parts: F.filter(F.array(*parts), lambda x: x.isNotNull())
     return out.withColumns({
-        "served": F.col("valid") & (level != "critical") & (conf >= 0.3), "warnings": listed(warnings), "recommendations": listed(advice),
+        "served": is_served(F.col("valid"), level, conf), "warnings": listed(warnings), "recommendations": listed(advice),
     }).drop("__c", "__ok")
 
 

@@ -74,6 +74,11 @@ def cache_evict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return querylog.evict_oldest(table(spark, sf_dir, "events"), "ts", "event_id").select("event_id")
 
 
+@query(f"WITH {LOG} SELECT round(count(*) FILTER (level IN ('low', 'medium')) / count(*), 6) AS pass_rate, round(count(*) FILTER (rating IS NOT NULL) / count(*), 6) AS rated_rate, round(count(*) FILTER (quality_score >= 0.5) / count(*), 6) AS success_rate FROM lev")
+def log_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return querylog.shares(log(spark, sf_dir), pass_rate=F.col("level").isin("low", "medium"), rated_rate=F.col("rating").isNotNull(), success_rate=F.col("quality_score") >= 0.5)
+
+
 @query("""SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id""")
 def snk_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
