@@ -19,7 +19,7 @@ from loamstack.operators import chunking, querylog, rerank, search
 from loamstack.plans.answers import validated
 from loamstack.plans.corpus import good_chunks
 from loamstack.plans.lexical import QUESTION
-from loamstack.plans.logs import query_log
+from loamstack.plans.logs import log
 from loamstack.plans.registry import table
 from loamstack.plans.vectors import query_vectors, token_vectors
 
@@ -77,7 +77,7 @@ def validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return querylog.stats(query_log(spark, sf_dir))
+    return querylog.stats(log(spark, sf_dir))
 
 
 QUERIES = (quality_chunk, knn_exact, maxsim_rel, maxsim_hof, maxsim_arrow, lexical_rerank, validate, stats)

@@ -52,7 +52,7 @@ class OverlapScorer:
 
 
 def encode(chunks: DataFrame, make: Callable[[], Encoder] = HashingEncoder, batch: int = 64) -> DataFrame:
-    """(chunk_id, vectors, pooled) of (chunk_id, text); a text that fails gets no vectors and a null pool. ``make`` runs once a task."""
+    """(chunk_id, vectors, pooled) of (chunk_id, text); a text that fails gets no vectors and a pool of zeros. ``make`` runs once a task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = make()
@@ -66,12 +66,47 @@ def encode(chunks: DataFrame, make: Callable[[], Encoder] = HashingEncoder, batc
                         mean = m.mean(axis=0)
                         rows.append((key, [v.tolist() for v in m], (mean / max(float(np.linalg.norm(mean)), 1e-12)).tolist()))
                     except (ValueError, RuntimeError):
-                        rows.append((key, [], None))
+                        rows.append((key, [], [0.0] * getattr(encoder, "width", 0)))
                 yield pd.DataFrame(rows, columns=["chunk_id", "vectors", "pooled"])
 
     return chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "text").mapInPandas(run, "chunk_id string, vectors array<array<double>>, pooled array<double>")
 
 
+class PageEncoder(Protocol):
+    def __call__(self, image: bytes) -> np.ndarray:
+        """A matrix of patch vectors."""
+
+
+class HashingPageEncoder:
+    """Each slice of an image's bytes is a unit vector drawn from its checksum; the same on every machine."""
+
+    def __init__(self, width: int = 128, patches: int = 32):
+        self.width, self.patches = width, patches
+
+    def __call__(self, image: bytes) -> np.ndarray:
+        step = max(1, -(-len(image) // self.patches))
+        parts = [image[i : i + step] for i in range(0, len(image), step)] or [b""]
+        m = np.stack([np.random.default_rng(zlib.crc32(p)).standard_normal(self.width) for p in parts])
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def encode_pages(pages: DataFrame, make: Callable[[], PageEncoder] = HashingPageEncoder) -> DataFrame:
+    """(page_id, patch, e) of (page_id, image); null images and pages that fail have no patches."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = make()
+        for frame in frames:
+            rows = []
+            for key, image in zip(frame["page_id"], frame["image"], strict=True):
+                try:
+                    rows += [(key, i, v.tolist()) for i, v in enumerate(encoder(bytes(image)))] if image is not None else []
+                except (ValueError, RuntimeError):
+                    continue
+            yield pd.DataFrame(rows, columns=["page_id", "patch", "e"])
+
+    return pages.select(F.col("page_id").cast("string").alias("page_id"), "image").mapInPandas(run, "page_id string, patch int, e array<double>")
+
+
 def pair_score(query: Column, text: Column, make: Callable[[], PairScorer] = OverlapScorer) -> Column:
     """A pair scorer as an Arrow function over two text columns."""
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_path, pieces, plain, to_arrow
+from .common import fresh_path, pieces, plain, release, to_arrow
 from .tokens import VOCABULARY, RunEncoder
 
 MANIFEST = "doc_id bigint, file string, ordinal bigint, record_offset bigint, record_length bigint, n_tokens bigint, checksum bigint"
@@ -107,6 +107,8 @@ def write_records(docs: DataFrame, path: str | None = None, vocabulary: str = VO
                         out, rows, offsets = None, [], []
         if out is not None:
             yield close()
+        del encoder
+        release()
 
     manifest = plain(docs, "doc_id", "text").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, T.StructType.fromDDL(MANIFEST))
     manifest.write.parquet(f"{path}/manifest")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -87,7 +89,10 @@ def map_rows(
                 rows = list(work(*(column.to_pylist() for column in part.columns)))
                 if rows:
                     data = [pa.array(list(values), type=f.type) for f, values in zip(kind, zip(*rows, strict=True), strict=True)]
+                    del rows
                     yield pa.RecordBatch.from_arrays(data, schema=kind)
+        del work
+        release()
 
     return plain(df, *columns).select(*columns).mapInArrow(run, fields)
 
@@ -102,11 +107,20 @@ def keep_rows(df: DataFrame, columns: list[str], make: Callable[[], Callable[...
         for batch in batches:
             for part in pieces(batch):
                 yield part.filter(pa.array(work(*(part.column(i).to_pylist() for i in at)), type=pa.bool_()))
+        del work
+        release()
 
     return df.mapInArrow(run, nullable(df.schema)).toDF(*names)
 
 
-def pieces(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def release() -> None:
+    """Gives a worker's freed memory back to the machine, so that what one task needed doesn't stay with the worker for the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def pieces(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``limit`` bytes, so that long texts don't add up in a worker's memory."""
     step = max(1, int(batch.num_rows * limit / max(limit, batch.nbytes)))
     for start in range(0, batch.num_rows, step):

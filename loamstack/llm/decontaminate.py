@@ -259,7 +259,7 @@ class Matcher:
         for back in (0, 1):
             good = (step >= back) & (step - back < counts[doc])
             sides.append(((first[doc] + step - back)[good], flat[good]))
-        at_once = max(1, (1 << 21) // max(1, self.index.n_blocks, PASSAGE))
+        at_once = max(1, (1 << 18) // max(1, self.index.n_blocks, PASSAGE))
         for low in range(0, int(first[-1]), at_once):
             cut = [(p[a:b], t[a:b]) for p, t in sides for a, b in [np.searchsorted(p, (low, low + at_once))]]
             passage, term = np.concatenate([c[0] for c in cut]) - low, np.concatenate([c[1] for c in cut])

@@ -31,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, cut, map_rows, maybe_in, nullable, pieces, plain, to_arrow
+from .common import Memo, cut, map_rows, maybe_in, nullable, pieces, plain, release, to_arrow
 
 N, THRESHOLD, RECALL = 3, 0.5, 0.98
 #: Either a node and its links in one unit, or (links null) an edge of the spanning forest.
@@ -217,6 +217,9 @@ def _verifier(threshold: float):
             threshold,
         )
         node = node[order]
+        if seats.nbytes > 4 << 20:
+            del sets
+            release()
         some = np.flatnonzero(degree)
         a, b = (node[np.array([e[k] for e in edges], np.int64)] for k in (0, 1))
         columns = (

@@ -31,6 +31,27 @@ def add_columns(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     return rows.withColumns({c: F.lit(None).cast(kind) for c, kind in columns.items() if c not in rows.columns})
 
 
+def drop_columns(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return rows.drop(*columns)
+
+
+MIGRATIONS = "name string, applied_at timestamp"
+
+
+def migrate(rows: DataFrame, log: DataFrame, name: str, columns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Adds columns under a migration's name, and the name to the log; one that the log holds changes nothing."""
+    if not log.where(F.col("name") == name).isEmpty():
+        return rows, log
+    return add_columns(rows, columns), log.unionByName(log.sparkSession.range(1).select(F.lit(name).alias("name"), F.current_timestamp().alias("applied_at")))
+
+
+def revert(rows: DataFrame, log: DataFrame, name: str, columns: dict[str, str]) -> tuple[DataFrame, DataFrame]:
+    """Takes a migration's columns and its name out again; one that the log lacks changes nothing."""
+    if log.where(F.col("name") == name).isEmpty():
+        return rows, log
+    return drop_columns(rows, columns), log.where(F.col("name") != name)
+
+
 def store(rows: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "append") -> None:
     writer = rows.write.mode(mode)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)

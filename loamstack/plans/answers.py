@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts as P
 from ..functions import scores as S
-from ..functions import text as T
 from ..operators import context, rerank, search, validation
 from .corpus import CHUNKS, good_chunks, words_sql
 from .lexical import BM25, QLIST, QUESTION, TERMS, WORDS

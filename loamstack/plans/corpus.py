@@ -94,7 +94,8 @@ def chunk_relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CHUNKS}, u AS (SELECT 'parent' AS kind, length(text) // 4 AS tokens FROM parents UNION ALL SELECT 'child', length(text) // 4 FROM children)
-SELECT count(*) FILTER (kind = 'parent') AS n_parents, count(*) FILTER (kind = 'child') AS n_children, min(tokens) FILTER (kind = 'parent') AS min_parent_tokens,
+SELECT count(*) FILTER (kind = 'parent') AS n_parents, count(*) FILTER (kind = 'child') AS n_children, min(tokens) FILTER (kind = 'parent') AS min_parent_tokens, max(tokens) FILTER (kind = 'parent') AS max_parent_tokens, min(tokens) FILTER (kind = 'child') AS min_child_tokens,
+ round(avg(tokens) FILTER (kind = 'child'), 6) AS avg_child_tokens,
  max(tokens) FILTER (kind = 'child') AS max_child_tokens, round(avg(tokens) FILTER (kind = 'parent'), 6) AS avg_parent_tokens, CAST(sum(tokens) AS BIGINT) AS total_tokens,
  round(coalesce(count(*) FILTER (kind = 'child') / nullif(count(*) FILTER (kind = 'parent'), 0), 0), 6) AS children_per_parent FROM u""")
 def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +104,8 @@ def chunk_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = p.select(F.lit("parent").alias("kind"), tokens).unionByName(c.select(F.lit("child").alias("kind"), tokens))
     of = lambda k: F.when(F.col("kind") == k, F.col("tokens"))
     n_p, n_c = F.count(of("parent")), F.count(of("child"))
-    return u.agg(n_p.alias("n_parents"), n_c.alias("n_children"), F.min(of("parent")).alias("min_parent_tokens"), F.max(of("child")).alias("max_child_tokens"),
+    return u.agg(n_p.alias("n_parents"), n_c.alias("n_children"), F.min(of("parent")).alias("min_parent_tokens"), F.max(of("parent")).alias("max_parent_tokens"),
+                 F.min(of("child")).alias("min_child_tokens"), F.round(F.avg(of("child")), 6).alias("avg_child_tokens"), F.max(of("child")).alias("max_child_tokens"),
                  F.round(F.avg(of("parent")), 6).alias("avg_parent_tokens"), F.sum("tokens").alias("total_tokens"),
                  F.round(F.coalesce(F.try_divide(n_c, n_p), F.lit(0.0)), 6).alias("children_per_parent"))
 

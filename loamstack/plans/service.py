@@ -85,11 +85,11 @@ def log_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return response.hallucination_details(log(spark, sf_dir), 42)
 
 
-@query("SELECT event_id, md5(event_type || '|' || CAST(value AS BIGINT) || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS row_md5, epoch_us(ts) // 1000 AS ts_ms FROM events")
+@query("SELECT event_id, md5(event_type || '|' || CAST(floor(value) AS BIGINT) || '|' || strftime(ts, '%Y-%m-%dT%H:%M:%S')) AS row_md5, epoch_us(ts) // 1000 AS ts_ms FROM events")
 def log_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times in ISO 8601 and in milliseconds."""
     e = table(spark, sf_dir, "events")
-    row = F.concat_ws("|", "event_type", F.round("value").cast("bigint").cast("string"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
+    row = F.concat_ws("|", "event_type", F.floor("value").cast("bigint").cast("string"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"))
     return e.select("event_id", F.md5(row).alias("row_md5"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -22,6 +22,11 @@ def token_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def weighted(a: Column) -> Column:
+    """The sum of an array's elements times their places, so that a comparison takes in all of them."""
+    return F.aggregate(F.transform(a, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+
+
 def query_vectors(vectors: DataFrame) -> list[list[float]]:
     """The query's own vectors, as many as one query has."""
     return [r[0] for r in vectors.where(F.col("chunk_id") == CHUNK).orderBy("vector_id").select("e").collect()]
@@ -76,17 +81,17 @@ def vec_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pooled.select("chunk_id", F.posexplode("pooled").alias("dim", "value")).select("chunk_id", (F.col("dim") + 1).cast("bigint").alias("dim"), F.round("value", 6).alias("value"))
 
 
-@query(f"WITH {VEC} SELECT chunk_id, vector_id, round(list_dot_product(e[1:32], e[1:32]), 6) AS head, round(e[1] / sqrt(list_dot_product(e[1:32], e[1:32])), 6) AS first FROM v")
+@query(f"WITH {VEC} SELECT chunk_id, vector_id, round(list_dot_product(e[1:32], e[1:32]), 6) AS head, round(list_sum(list_transform(e[1:32], lambda x, i: x * i)) / sqrt(list_dot_product(e[1:32], e[1:32])), 5) AS weighted FROM v")
 def vec_truncate_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = token_vectors(spark, sf_dir).withColumn("t", V.truncated(F.col("e"), 32))
-    return short.select("chunk_id", "vector_id", F.round(V.dot(F.col("t"), F.col("t")), 6).alias("head"), F.round(F.element_at("t", 1) / V.norm(F.col("t")), 6).alias("first"))
+    return short.select("chunk_id", "vector_id", F.round(V.dot(F.col("t"), F.col("t")), 6).alias("head"), F.round(weighted(V.unit(F.col("t"))), 5).alias("weighted"))
 
 
-@query(f"WITH {VEC}, {POOL} SELECT chunk_id, vector_id, round(e[1], 6) AS first FROM v UNION ALL SELECT chunk_id, -1, round(mean[1] / sqrt(list_dot_product(mean, mean)), 6) FROM p")
+@query(f"WITH {VEC}, {POOL} SELECT chunk_id, vector_id, false AS is_pooled, round(list_sum(list_transform(e, lambda x, i: x * i)), 5) AS weighted FROM v UNION ALL SELECT chunk_id, -1, true, round(list_sum(list_transform(mean, lambda x, i: x * i)) / sqrt(list_dot_product(mean, mean)), 5) FROM p")
 def snk_token_plus_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = token_vectors(spark, sf_dir)
-    own = v.select("chunk_id", "vector_id", F.round(F.element_at("e", 1), 6).alias("first"))
-    pooled = search.pooled(v, "chunk_id", "e", 64).select("chunk_id", F.lit(-1).cast("bigint").alias("vector_id"), F.round(F.element_at("pooled", 1), 6).alias("first"))
+    own = v.select("chunk_id", "vector_id", F.lit(False).alias("is_pooled"), F.round(weighted(F.col("e")), 5).alias("weighted"))
+    pooled = search.pooled(v, "chunk_id", "e", 64).select("chunk_id", F.lit(-1).cast("bigint").alias("vector_id"), F.lit(True).alias("is_pooled"), F.round(weighted(F.col("pooled")), 5).alias("weighted"))
     return own.unionByName(pooled)
 
 

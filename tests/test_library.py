@@ -200,6 +200,25 @@ def test_models(spark):
     assert models.about(models.HashingEncoder()) == [{"model": "HashingEncoder", "width": 64, "marker": "[D]"}]
 
 
+def test_pages(spark):
+    pages = spark.createDataFrame([("a", b"x" * 100), ("b", b""), ("c", None)], "page_id string, image binary")
+    got = models.encode_pages(pages).collect()
+    assert {(r["page_id"], len(r["e"])) for r in got} == {("a", 128), ("b", 128)}
+    assert sum(r["page_id"] == "a" for r in got) == 25
+    assert all(abs(np.linalg.norm(r["e"]) - 1) < 1e-9 for r in got)
+
+
+def test_migrations(spark):
+    rows, log = spark.createDataFrame([(1,)], "id int"), spark.createDataFrame([], sinks.MIGRATIONS)
+    columns = {"risk": "double", "level": "string"}
+    for _ in range(2):
+        rows, log = sinks.migrate(rows, log, "first", columns)
+        assert rows.columns == ["id", "risk", "level"] and log.count() == 1
+    for _ in range(2):
+        rows, log = sinks.revert(rows, log, "first", columns)
+        assert rows.columns == ["id"] and log.count() == 0
+
+
 def test_reasons(spark):
     rows = spark.createDataFrame([(1, 1, '{"reasoning": {"1": "fits"}}'), (1, 2, '{"reasoning": {"1": "fits"}}'), (2, 1, "none")], "query_id int, rank int, response string")
     assert [r["reason"] for r in rerank.reasons(rows).collect()] == ["fits", "Ranked at position 2", "Ranked at position 1"]
