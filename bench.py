@@ -11,6 +11,8 @@ import platform
 import statistics
 import time
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,9 +55,6 @@ def maxsim_hof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def maxsim_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MaxSim by a matrix product in Arrow batches."""
-    import numpy as np
-    import pandas as pd
-
     v = token_vectors(spark, sf_dir)
     q = np.array(query_vectors(v))
 
