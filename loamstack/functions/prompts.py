@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import fixed
+
 KINDS = {
     "comparison": ("compare", "difference", "versus", "vs", "contrast"),
     "summary": ("summarize", "summary", "overview", "brief"),
@@ -99,7 +101,7 @@ def with_template(name: str, system: str, user: str, most_tokens: int = 512, tem
 
 def sources_block(context: Column, sources: Column) -> Column:
     """A context with a line for each of sources array<struct<document_id, section_title, relevance_score>>."""
-    lines = F.transform(sources, lambda s, i: F.format_string("[Source %d] | Document: %s | Section: %s | Relevance: %.2f", i + 1, s["document_id"], s["section_title"], s["relevance_score"]))
+    lines = F.transform(sources, lambda s, i: F.format_string("[Source %d] | Document: %s | Section: %s | Relevance: %s", i + 1, s["document_id"], s["section_title"], fixed(s["relevance_score"], 2)))
     block = F.concat(F.lit("=== Context ===\n"), context, F.lit("\n\n=== Sources ===\n"), F.array_join(lines, "\n"), F.lit("\n"))
     return F.when(F.size(sources) > 0, block).otherwise(context)
 

@@ -50,8 +50,8 @@ def validate(answers: DataFrame) -> DataFrame:
     warnings = [
         F.when(level == "high", "High hallucination risk detected").when(level == "critical", "Critical hallucination risk - answer should not be served"),
         F.when(F.col("is_hallucination"), "Potential hallucination detected"),
-        F.when(quality < 0.6, F.format_string("Low quality score: %.2f", quality)),
-        F.when(conf < 0.6, F.format_string("Low confidence: %.2f", conf)),
+        F.when(quality < 0.6, F.concat(F.lit("Low quality score: "), T.fixed(quality, 2))),
+        F.when(conf < 0.6, F.concat(F.lit("Low confidence: "), T.fixed(conf, 2))),
         F.when(n == 0, "No sources found for answer").when(n < 2, "Limited sources available"),
         F.when(n == 0, "No results from retrieval pipeline"),
     ]

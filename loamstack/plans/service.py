@@ -249,5 +249,5 @@ SELECT doc_id, string_agg(term || '=' || printf('%.4f', w), ',' ORDER BY term) A
 def term_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each of the question's terms adds to a document's sparse score, as a map."""
     out = rerank.contributions(rerank.term_frequencies(table(spark, sf_dir, "documents")), S.query_words(QUESTION))
-    entries = F.transform(F.array_sort(F.map_entries("contributions")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"])))
+    entries = F.transform(F.array_sort(F.map_entries("contributions")), lambda e: F.concat(e["key"], F.lit("="), T.fixed(e["value"], 4)))
     return out.select("doc_id", F.array_join(entries, ",").alias("contributions"))
