@@ -41,7 +41,7 @@ SELECT event_id, round(risk, 6) AS risk, CASE WHEN k = 1 THEN value > 100 ELSE r
 def detection_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A detector's raw answers, of four kinds by event: plain, with a verdict, with confidence and suggestions, unreadable."""
     e, k = table(spark, sf_dir, "events"), F.col("event_id") % 4
-    risk = F.concat(F.lit('{"risk_score": '), F.least(F.lit(1.0), F.round(F.col("value") / 500, 3)).cast("string"))
+    risk = F.concat(F.lit('{"risk_score": '), F.least(F.lit(1.0), T.rounded(F.col("value") / 500, 3)).cast("string"))
     verdict = F.concat(risk, F.lit(', "hallucination_detected": '), (F.col("value") > 100).cast("string"), F.lit("}"))
     sure = F.concat(risk, F.lit(', "confidence": 0.9, "suggestions": ["look again"]}'))
     raw = F.when(k == 0, F.concat(risk, F.lit("}"))).when(k == 1, verdict).when(k == 2, sure).otherwise("no json")
