@@ -110,9 +110,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 w AS (SELECT doc_id, term, 1 + ln(1 + tf / n) AS weight FROM f), m AS (SELECT *, weight / max(weight) OVER (PARTITION BY doc_id) AS nw FROM w)
 SELECT doc_id, round(sum(nw), 6) AS score FROM m WHERE list_contains({QLIST}, term) GROUP BY doc_id""")
 def sparse_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = rerank.term_frequencies(table(spark, sf_dir, "documents"))
-    weight = 1 + F.log1p(F.col("tf") / F.col("n_terms"))
-    w = tf.withColumn("w", weight).withColumn("weight", F.col("w") / F.max("w").over(Window.partitionBy("doc_id"))).withColumn("pos", F.lit(0))
+    w = rerank.relative_weights(table(spark, sf_dir, "documents"), _Q).withColumn("pos", F.lit(0))
     q = spark.createDataFrame([(t, 1.0) for t in _Q], "term string, query_weight double")
     return rerank.sparse_dot(q, w).select("doc_id", F.round("score", 6).alias("score"))
 
