@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 import zlib
 from collections.abc import Callable, Iterator
@@ -9,6 +10,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,21 +25,45 @@ class PairScorer(Protocol):
 
 
 class HashingEncoder:
-    """Each word is a unit vector drawn from its checksum; the same on every machine."""
+    """Each word is a unit vector drawn from its checksum; the same on every machine.
 
-    def __init__(self, width: int = 64, marker: str = "[D]"):
-        self.width, self.marker, self.known = width, marker, {}
+    Vectors are drawn once while a word is known; of too many words those found in most texts stay known.
+    """
+
+    MOST = 200_000
 
-    def word(self, w: str) -> np.ndarray:
-        if w not in self.known:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            v = np.random.default_rng(zlib.crc32(w.encode("utf-8", "replace"))).standard_normal(self.width)
-            self.known[w] = v / np.linalg.norm(v)
-        return self.known[w]
+    def __init__(self, width: int = 64, marker: str = "[D]"):
+        self.width, self.marker = width, marker
+        #: Words in the order of their rows in the table of vectors, and in how many texts each was found.
+        self.known, self.table, self.found = {}, np.empty((1024, width)), np.zeros(1024, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        if len(self.known) > self.MOST:
+            best = np.argsort(-self.found[: len(self.known)], kind="stable")[: self.MOST // 2]
+            names = list(self.known)
+            self.known = {names[i]: at for at, i in enumerate(best)}
+            self.table[: len(best)], self.found[: len(best)], self.found[len(best) :] = self.table[best], self.found[best] // 2, 0
+        for w in words:
+            if w not in self.known:
+                at = len(self.known)
+                if at == len(self.table):
+                    self.table, self.found = np.concatenate([self.table, np.empty_like(self.table)]), np.concatenate([self.found, np.zeros_like(self.found)])
+                v = np.random.default_rng(zlib.crc32(w.encode("utf-8", "replace"))).standard_normal(self.width)
+                np.divide(v, math.sqrt(v.dot(v)), out=self.table[at])
+                self.known[w] = at
+
+    def one(self, text: str | None) -> np.ndarray:
+        words = [self.marker, *(text or "").lower().split()]
+        try:
+            rows = np.fromiter(map(self.known.__getitem__, words), np.intp, len(words))
+        except KeyError:
+            self.learn(words)
+            rows = np.fromiter(map(self.known.__getitem__, words), np.intp, len(words))
+        self.found[rows] += 1
+        return self.table.take(rows, axis=0)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.stack([self.word(w) for w in (self.marker, *(t or "").lower().split())]) for t in texts]
+        return [self.one(t) for t in texts]
 
 
 class OverlapScorer:
@@ -51,25 +77,44 @@ class OverlapScorer:
         return out
 
 
-def encode(chunks: DataFrame, make: Callable[[], Encoder] = HashingEncoder, batch: int = 64) -> DataFrame:
-    """(chunk_id, vectors, pooled) of (chunk_id, text); a text that fails gets no vectors and a pool of zeros. ``make`` runs once a task."""
+#: What encode gives of each text, with the types.
+ENCODED = {"vectors": "array<array<double>>", "n_vectors": "int", "pooled": "array<double>"}
+
+
+def _nested(offsets: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *offsets]), pa.int32()), values)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def encode(chunks: DataFrame, make: Callable[[], Encoder] = HashingEncoder, batch: int = 64, parts: tuple[str, ...] = ("vectors", "pooled")) -> DataFrame:
+    """(chunk_id and ``parts``, of ENCODED) of (chunk_id, text); a text that fails gets no vectors and a pool of zeros.
+
+    ``make`` runs once a task. Every text is encoded, but matrices go back to the JVM only if ``vectors`` is among the parts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = make()
+        none = np.zeros((0, getattr(encoder, "width", 0)))
         for frame in batches:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start : start + batch]
-                rows = []
-                for key, text in zip(part["chunk_id"], part["text"], strict=True):
+            for start in range(0, frame.num_rows, batch):
+                part = frame.slice(start, batch)
+                matrices, pools = [], []
+                for text in part["text"].to_pylist():
                     try:
                         m = encoder([text])[0]
                         mean = m.mean(axis=0)
-                        rows.append((key, [v.tolist() for v in m], (mean / max(float(np.linalg.norm(mean)), 1e-12)).tolist()))
+                        matrices.append(np.asarray(m, np.float64) if "vectors" in parts else m)
+                        pools.append(np.asarray(mean / max(float(np.linalg.norm(mean)), 1e-12), np.float64))
                     except (ValueError, RuntimeError):
-                        rows.append((key, [], [0.0] * getattr(encoder, "width", 0)))
-                yield pd.DataFrame(rows, columns=["chunk_id", "vectors", "pooled"])
-
-    return chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "text").mapInPandas(run, "chunk_id string, vectors array<array<double>>, pooled array<double>")
+                        matrices, pools = [*matrices[: len(pools)], none], [*pools, np.zeros(none.shape[1])]
+                out = {"chunk_id": part["chunk_id"], "pooled": _nested([len(x) for x in pools], pa.array(np.concatenate(pools)))}
+                out["n_vectors"] = pa.array([len(m) for m in matrices], pa.int32())
+                if "vectors" in parts:
+                    each = _nested([m.shape[1] for m in matrices for _ in m], pa.array(np.concatenate([m.ravel() for m in matrices])))
+                    out["vectors"] = _nested([len(m) for m in matrices], each)
+                yield pa.RecordBatch.from_pydict({c: out[c] for c in ("chunk_id", *parts)})
+
+    kinds = ", ".join(f"{c} {ENCODED[c]}" for c in parts)
+    return chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), "text").mapInArrow(run, f"chunk_id string, {kinds}")
 
 
 class PageEncoder(Protocol):

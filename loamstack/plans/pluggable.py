@@ -16,7 +16,7 @@ from .registry import query, table
 @query()
 def enc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = good_chunks(spark, sf_dir)[1]
-    return models.encode(c).select("chunk_id", F.size("vectors").alias("n_vectors"), F.round(F.element_at("pooled", 1), 6).alias("first"))
+    return models.encode(c, parts=("n_vectors", "pooled")).select("chunk_id", "n_vectors", F.round(F.element_at("pooled", 1), 6).alias("first"))
 
 
 @query()
