@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import prompts as P
 from ..functions import scores as S
-from ..operators import context, rerank, search, validation
+from ..operators import chunking, context, rerank, search, validation
 from .corpus import CHUNKS, good_chunks, words_sql
 from .lexical import BM25, QLIST, QUESTION, TERMS, WORDS
 from .registry import query, table
@@ -51,8 +51,13 @@ def hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def fitted(spark: SparkSession, sf_dir: str, budget: int = context.BUDGET) -> DataFrame:
     """Question to packed contexts: chunks, lexical list, listwise rules, parents, merging, budget."""
-    p, h = hits(spark, sf_dir)
-    grouped = context.group_parents(h.withColumnRenamed("final_score", "score"), p)
+    h = hits(spark, sf_dir)[1].withColumnRenamed("final_score", "score")
+    # Five rows at most, and several steps read them; in the plan, each of these would score all chunks again.
+    rows = h.collect()
+    few = spark.createDataFrame(rows, h.schema).coalesce(1)
+    # Parents of the hits' documents alone; this filter stands before the quality rules, so that these are checked on few.
+    named = table(spark, sf_dir, "documents").where(F.col("doc_id").isin(sorted({r["doc_id"] for r in rows} - {None})))
+    grouped = context.group_parents(few, chunking.parents(chunking.good_documents(named)))
     return context.fit_budget(context.merge_neighbours(grouped), budget=budget)
 
 
