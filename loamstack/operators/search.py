@@ -76,8 +76,9 @@ def hybrid(vector_hits: DataFrame, text_hits: DataFrame, alpha: float) -> DataFr
 def bm25(docs: DataFrame, query: str, id_column: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(id, score) of the documents that hold a query term. Counts of these terms alone are made, in one pass; no postings are shuffled."""
     q = sorted(set(query.lower().split()))
-    t = docs.select(id_column, T.terms("text").alias("__t"))
-    tf = t.select(id_column, F.size("__t").alias("__n"), *(T.count_of(F.col("__t"), w).alias(f"__f{i}") for i, w in enumerate(q)))
+    t = docs.select(id_column, T.terms_among("text", q).alias("__t"))
+    own = t.select(id_column, F.size("__t").alias("__n"), F.array_remove("__t", "").alias("__own"))
+    tf = own.select(id_column, "__n", *(T.count_of(F.col("__own"), w).alias(f"__f{i}") for i, w in enumerate(q)))
     # One row of statistics.
     stats = tf.agg(F.count(F.lit(1)).alias("__docs"), F.avg("__n").alias("__mean"), *(F.count_if(F.col(f"__f{i}") > 0).alias(f"__df{i}") for i in range(len(q))))
     both = tf.crossJoin(F.broadcast(stats))
@@ -85,4 +86,5 @@ def bm25(docs: DataFrame, query: str, id_column: str = "doc_id", k1: float = 1.2
     for i in range(len(q)):
         f, df = F.col(f"__f{i}"), F.col(f"__df{i}")
         score = score + F.log(1 + (F.col("__docs") - df + 0.5) / (df + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("__n") / F.col("__mean")))
-    return both.select(id_column, score.alias("score")).where("score > 0")
+    # Not just score > 0: from that Spark infers a null check of every count, each with the terms of all texts told apart once more.
+    return both.select(id_column, score.alias("score")).where("coalesce(score, 0.0) > 0")
